@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, near_dedup, packing, pii, shard, topk, toxicity, warc
+from . import decontaminate, langid, license_scan, near_dedup, packing, pii, shard, topk, toxicity, warc
 from ._session import held_out, learnable
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -85,7 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_near_dedup, op3_toxicity, op4_pii, op5_sharding, op6_language_id, op7_license_scan, op8_warc, op9_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_toxicity, op4_pii, op5_sharding, op6_language_id, op7_license_scan, op8_warc, op9_topk, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
