@@ -252,7 +252,7 @@ class Screen:
             fresh = np.ones(len(win), bool)
             fresh[1:] = (np.diff(col) != 0) | (np.diff(row) != 0) | (begin[win[1:]] > end[win[:-1]])
             cuts = np.flatnonzero(fresh).tolist()
-            for a, z in zip(cuts, [*cuts[1:], len(win)], strict=True):
+            for a, z in zip(cuts, [*cuts[1:], len(win)], strict=False):
                 item, r = int(owner[col[a]]), int(row[a])
                 lo = max(int(at[begin[win[a]]]) - width // 2, int(w.rows[r]))
                 hi_block = int(end[win[z - 1]])
