@@ -271,8 +271,7 @@ def _links(docs: DataFrame, active: DataFrame, id_col: str, text_col: str, width
     """a, b: confirmed links. A node's text is fetched once, its set goes to each of its regions (TREES at most)."""
     kind = docs.schema[id_col].dataType.simpleString()
     regions = active.groupBy("id").agg(F.collect_list(F.struct("tree", "key")).alias("regions"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).dropDuplicates(["id", "key"])
-    held = texts.select("id", "text").join(regions, "id")
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(regions, "id")
 
     def spread(batches):
         for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
@@ -287,12 +286,13 @@ def _links(docs: DataFrame, active: DataFrame, id_col: str, text_col: str, width
 
     def run(batches):
         for (tree, _), t in _groups(batches, 2):
-            if t.num_rows < 2:
+            ids, raw = t.column(2).combine_chunks(), t.column(3).to_pylist()
+            first = list({(i, x): n for n, (i, x) in reversed(list(enumerate(zip(ids.to_pylist(), raw, strict=True))))}.values())  # of repeated rows
+            if len(first) < 2:
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in t.column(3).to_pylist()]
+            ids, sets = ids.take(pa.array(first)), [np.frombuffer(raw[n], np.uint64) for n in first]
             found = confirmed(int(tree), sets)
             if found:
-                ids = t.column(2).combine_chunks()
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
 
