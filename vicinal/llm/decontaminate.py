@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 
-BITS, RANK, DROPPED, OVERSAMPLE, PASSES = 13, 64, 6, 8, 1
+BITS, RANK, DROPPED, OVERSAMPLE, PASSES = 13, 48, 4, 8, 1
 PASSAGE, BLOCK, WIDTHS = 64, 4, (16, 32, 64)
 LEAST_WORDS = 5
 COSINE = 0.4
@@ -188,7 +188,7 @@ class Screen:
         order = np.argsort(inverse[keep], kind="stable")
         self.rare, self.rare_items = known[rare], item[keep][order]
         self.rare_first = np.concatenate([[0], np.cumsum(df[rare])])
-        size = np.array([len(x) for x in self.items], np.int64)
+        size = self.sizes = np.array([len(x) for x in self.items], np.int64)
         listed = known[rare]
         commons = size - np.array([np.isin(x, listed).sum() for x in self.items], np.int64)
         repeats = size - commons - np.array([np.isin(x, listed).sum() for x in sets], np.int64)
@@ -235,10 +235,10 @@ class Screen:
             n_blocks, step = width // BLOCK, max(1, width // BLOCK // 4)
             begin = np.flatnonzero((np.arange(len(at)) - first[row_of_block]) % step == 0)
             end = np.minimum(begin + n_blocks, first[row_of_block[begin] + 1])
-            cosine = _unit(before[end] - before[begin]).astype(np.float32) @ vectors.T.astype(np.float32)
-            win, col = np.nonzero(cosine >= COSINE)
+            cosine = vectors.astype(np.float32) @ _unit((before[end] - before[begin]).astype(np.float32)).T
+            col, win = np.nonzero(cosine >= COSINE)
             # A region that holds too few of the item's rare words cannot be confirmed.
-            reach = width // 2 + (np.array([len(x) for x in self.items])[owner[col]] if width == WIDTHS[-1] else 0)
+            reach = width // 2 + (self.sizes[owner[col]] if width == WIDTHS[-1] else 0)
             of, r = owner[col], row_of_block[begin[win]]
             lo = np.maximum(at[begin[win]] - reach, w.rows[r])
             hi = np.minimum(block_end[end[win] - 1] + reach, w.rows[r + 1])
@@ -246,34 +246,34 @@ class Screen:
             good = held >= self.needed[of]
             win, col = win[good], col[good]
             # Neighbouring windows of one item are one region.
-            order = np.lexsort((win, col))
-            win, col = win[order], col[order]
             row = row_of_block[begin[win]]
             fresh = np.ones(len(win), bool)
             fresh[1:] = (np.diff(col) != 0) | (np.diff(row) != 0) | (begin[win[1:]] > end[win[:-1]])
-            cuts = np.flatnonzero(fresh).tolist()
-            for a, z in zip(cuts, [*cuts[1:], len(win)], strict=False):
-                item, r = int(owner[col[a]]), int(row[a])
-                lo = max(int(at[begin[win[a]]]) - width // 2, int(w.rows[r]))
-                hi_block = int(end[win[z - 1]])
-                hi = min((int(at[hi_block]) if hi_block < len(at) else len(f)) + width // 2, int(w.rows[r + 1]))
-                size = len(self.items[item])
-                # A long item is proposed by one of its parts and confirmed around it as a whole.
-                if size > WIDTHS[-1]:
-                    lo, hi = max(lo - size, int(w.rows[r])), min(hi + size, int(w.rows[r + 1]))
+            cuts = np.flatnonzero(fresh)
+            stops = np.append(cuts[1:], len(win)) if len(cuts) else cuts
+            items, rows = owner[col[cuts]], row[cuts]
+            # A long item is proposed by one of its parts and confirmed around it as a whole.
+            reach = width // 2 + np.where(self.sizes[items] > WIDTHS[-1], self.sizes[items], 0)
+            los = np.maximum(at[begin[win[cuts]]] - reach, w.rows[rows])
+            his = np.minimum(block_end[end[win[stops - 1]] - 1] + reach, w.rows[rows + 1])
+            opens, shuts = np.searchsorted(places, items * len(h) + los), np.searchsorted(places, items * len(h) + his)
+            for a, z, item, r, lo, hi, a_p, z_p in zip(*(x.tolist() for x in (cuts, stops, items, rows, los, his, opens, shuts)), strict=True):
+                held = places[a_p:z_p] - item * len(h)
+                size, need = len(self.items[item]), self.distinct_needed[item]
+                if need > 0 and len(set(h[held].tolist())) < need:
+                    continue
                 # Regions much longer than the item are confirmed in overlapping stretches, so that scattered words do not add up.
-                reach = 2 * size + width
-                for s in range(lo, max(lo + 1, hi - reach // 2), reach // 2) if hi - lo > reach else (lo,):
-                    to = min(s + reach, hi)
-                    a_p, z_p = np.searchsorted(places, (item * len(h) + s, item * len(h) + to)).tolist()
-                    if len(set(h[places[a_p:z_p] - item * len(h)].tolist())) < self.distinct_needed[item]:
+                stretch = 2 * size + width
+                for s in range(lo, max(lo + 1, hi - stretch // 2), stretch // 2) if hi - lo > stretch else (lo,):
+                    to = min(s + stretch, hi)
+                    if hi - lo > stretch and len(set(h[held[(held >= s) & (held < to)]].tolist())) < need:
                         continue
                     got = self.lcs(item, h[s:to].tolist())
                     share = got.bit_count() / size
                     tail = max(2, size // ANSWER_SHARE)
                     answer = (got >> (size - tail)).bit_count() / tail
                     if share >= LCS_ALONE or share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND:
-                        key, found = (r, item), (share, float(cosine[win[a:z], col[a]].max()), answer, s - int(w.rows[r]))
+                        key, found = (r, item), (share, float(cosine[col[a], win[a:z]].max()), answer, s - int(w.rows[r]))
                         if key not in best or found[0] > best[key][0]:
                             best[key] = found
         return [(r, self.ids[i], cos, share, answer, s) for (r, i), (share, cos, answer, s) in sorted(best.items())]
