@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._prefilter import marked
 from ._session import written
 from .components import components
 
@@ -271,7 +272,9 @@ def _links(docs: DataFrame, active: DataFrame, id_col: str, text_col: str, width
     """a, b: confirmed links. A node's text is fetched once, its set goes to each of its regions (TREES at most)."""
     kind = docs.schema[id_col].dataType.simpleString()
     regions = active.groupBy("id").agg(F.collect_list(F.struct("tree", "key")).alias("regions"))
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(regions, "id")
+    # Most texts have no likely partner and stay where they are.
+    texts = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", active.select("id").distinct(), "id")
+    held = texts.where("__maybe").drop("__maybe").join(regions, "id")
 
     def spread(batches):
         for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
@@ -321,5 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Rows of docs, all columns: one document of each group, that with the smallest id, and all without words or id."""
     found = near_duplicates(docs, id_col, text_col, width)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = written(found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    rows = marked(docs, id_col, gone, "__gone")
+    maybe = rows.where("__maybe").drop("__maybe")
+    return rows.where("NOT __maybe").drop("__maybe").unionByName(maybe.join(gone, maybe[id_col] == gone["__gone"], "left_anti"))
