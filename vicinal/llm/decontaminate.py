@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._held import held
 
 BITS, RANK, DROPPED, OVERSAMPLE, PASSES = 13, 48, 4, 8, 1
 PASSAGE, BLOCK, WIDTHS = 64, 4, (16, 32, 64)
@@ -242,8 +243,8 @@ class Screen:
             of, r = owner[col], row_of_block[begin[win]]
             lo = np.maximum(at[begin[win]] - reach, w.rows[r])
             hi = np.minimum(block_end[end[win] - 1] + reach, w.rows[r + 1])
-            held = np.searchsorted(places, of * len(h) + hi) - np.searchsorted(places, of * len(h) + lo)
-            good = held >= self.needed[of]
+            n_rare = np.searchsorted(places, of * len(h) + hi) - np.searchsorted(places, of * len(h) + lo)
+            good = n_rare >= self.needed[of]
             win, col = win[good], col[good]
             # Neighbouring windows of one item are one region.
             row = row_of_block[begin[win]]
@@ -258,15 +259,15 @@ class Screen:
             his = np.minimum(block_end[end[win[stops - 1]] - 1] + reach, w.rows[rows + 1])
             opens, shuts = np.searchsorted(places, items * len(h) + los), np.searchsorted(places, items * len(h) + his)
             for a, z, item, r, lo, hi, a_p, z_p in zip(*(x.tolist() for x in (cuts, stops, items, rows, los, his, opens, shuts)), strict=True):
-                held = places[a_p:z_p] - item * len(h)
+                found_at = places[a_p:z_p] - item * len(h)
                 size, need = len(self.items[item]), self.distinct_needed[item]
-                if need > 0 and len(set(h[held].tolist())) < need:
+                if need > 0 and len(set(h[found_at].tolist())) < need:
                     continue
                 # Regions much longer than the item are confirmed in overlapping stretches, so that scattered words do not add up.
                 stretch = 2 * size + width
                 for s in range(lo, max(lo + 1, hi - stretch // 2), stretch // 2) if hi - lo > stretch else (lo,):
                     to = min(s + stretch, hi)
-                    if hi - lo > stretch and len(set(h[held[(held >= s) & (held < to)]].tolist())) < need:
+                    if hi - lo > stretch and len(set(h[found_at[(found_at >= s) & (found_at < to)]].tolist())) < need:
                         continue
                     got = self.lcs(item, h[s:to].tolist())
                     share = got.bit_count() / size
@@ -287,14 +288,9 @@ def _screens(space: Space, items: DataFrame, id_col: str, text_col: str):
         yield space, [r[0] for r in rows], [r[1] for r in rows]
 
 
-_HELD: dict[int, tuple[object, Screen]] = {}
-
-
 def _screen(shared) -> Screen:
-    if id(shared) not in _HELD:
-        _HELD.clear()
-        _HELD[id(shared)] = (shared, Screen(*shared.value))
-    return _HELD[id(shared)][1]
+    # The broadcast is kept with its screen, so that its identity stays its own.
+    return held(("screen", id(shared)), lambda: (shared, Screen(*shared.value)))[1]
 
 
 def hits(docs: DataFrame, items: DataFrame, space: Space | None = None, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -303,8 +299,8 @@ def hits(docs: DataFrame, items: DataFrame, space: Space | None = None, id_col:
     space = space or fit(docs, items, text_col, item_text)
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
-    for held in _screens(space, items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(held)
+    for one in _screens(space, items, item_id, item_text):
+        shared = spark.sparkContext.broadcast(one)
 
         def run(batches, shared=shared):
             screen = _screen(shared)
@@ -327,8 +323,8 @@ def clean(docs: DataFrame, items: DataFrame, space: Space | None = None, text_co
     space = space or fit(docs, items, text_col, item_text)
     at = docs.columns.index(text_col)
     out = docs
-    for held in _screens(space, items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(held)
+    for one in _screens(space, items, item_id, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(one)
 
         def run(batches, shared=shared):
             screen = _screen(shared)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
+from ._held import held
 
 #: Labelled rows a language whose text may be used, and bytes of it that are.
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 24_000
@@ -40,9 +41,9 @@ def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     ids = rows.select(F.col(lang_col).alias("lang"), F.col(order_col).alias("id"), F.xxhash64(order_col).alias("h"))
     ids = ids.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_ROWS)
     texts = rows.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text"))
-    held = texts.join(F.broadcast(ids), ["id", "lang"]).select("lang", "h", "id", "text").collect()
+    chosen = texts.join(F.broadcast(ids), ["id", "lang"]).select("lang", "h", "id", "text").collect()
     sample: dict[str, list[bytes]] = {}
-    for row in sorted(set(held), key=lambda r: (r["lang"], r["h"], str(r["id"]))):
+    for row in sorted(set(chosen), key=lambda r: (r["lang"], r["h"], str(r["id"]))):
         text = pc.utf8_lower(pa.array([row["text"]]))
         for c in _text.chunks(text):
             sample.setdefault(row["lang"], []).append(folded(c.data, c.bounds)[0].tobytes())
@@ -152,15 +153,8 @@ class Parser:
         return out
 
 
-_HELD: dict[int, Parser] = {}
-
-
 def _parser(sample: dict[str, bytes]) -> Parser:
-    key = hash(tuple(sorted(sample.items())))
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Parser(sample)
-    return _HELD[key]
+    return held(("parser", tuple(sorted(sample.items()))), lambda: Parser(sample))
 
 
 def classify(column: pa.Array, sample: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:

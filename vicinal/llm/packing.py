@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import _text
+from ._held import held
 from ._session import written
 
 CAPACITY = 4096
 END_ID = 1
 #: Words of which a worker keeps the tokens, at most; then it begins anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 700_000
 
 # A text may be cut at ASCII white space, and before ASCII punctuation that follows a letter or digit: the tokenizer
 # drops white space, always breaks at such places, and normalisation does not compose across them. Beyond ASCII only
@@ -125,13 +126,8 @@ def _split(data: np.ndarray, bounds: np.ndarray) -> _text.Words:
     return _text.Words(start, end, np.searchsorted(start, bounds))
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return held(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -243,9 +239,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    held = written(pieces(df, path, id_col, text_col, capacity, end_id), "pieces")
+    cut = written(pieces(df, path, id_col, text_col, capacity, end_id), "pieces")
     # One row for each task and size, then sums before it: no window holds more rows than there are tasks.
-    per_task = held.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    per_task = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
     sizes = per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
@@ -253,7 +249,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     key = plan[:, 0] << 44 | plan[:, 1] if len(plan) else np.zeros(0, np.int64)
     order = np.argsort(key)
     key, plan = key[order], plan[order]
-    ranked = held.join(offsets, ["length", "part"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("from") + F.col("nth")).alias("rank"))
+    ranked = cut.join(offsets, ["length", "part"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("from") + F.col("nth")).alias("rank"))
 
     def place(batches):
         for b in batches:
