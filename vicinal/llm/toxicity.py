@@ -105,7 +105,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seed: int =
         return np.bincount(row, weights=theta[ids], minlength=n) + theta[-1]
 
     def pull(ids, row, slope):
-        g = np.bincount(ids, weights=slope[row], minlength=n_used + 1)
+        g = np.bincount(ids, weights=slope[row], minlength=n_used + 1).astype(np.float64)
         g[-1] = slope.sum()
         return g
 
