@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
     got = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +36,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows: unless the session says otherwise, a batch that goes to Python has BATCH_ROWS of them at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def learnable(doc_id: str = "doc_id") -> Column:
     """Rows that a model may learn from: crc32 of the id as text, modulo 4, is not 2. A null id never is."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(False))

@@ -2,7 +2,7 @@
 
 An Arrow string column already is one byte buffer with row offsets, so words, word hashes and
 rolling word hashes of thousands of documents come from a few numpy passes, without a Python
-object per word. Chunks of about a megabyte bound the memory whatever the batch size is.
+object per word. Chunks of about half a megabyte bound the memory whatever the batch size is.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

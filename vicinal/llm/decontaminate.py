@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._held import held
+from ._session import small_batches
 
 BITS, RANK, DROPPED, OVERSAMPLE, PASSES = 13, 48, 4, 8, 1
 PASSAGE, BLOCK, WIDTHS = 64, 4, (16, 32, 64)
@@ -74,14 +75,26 @@ def _padded(table: np.ndarray) -> np.ndarray:
 
 
 def _summed(texts: DataFrame, make) -> np.ndarray:
-    """The sum over all tasks of the array that make(chunks) returns, added up in a tree."""
+    """The sum over all tasks of the array that make(chunks) returns, added up in two rounds of partial sums."""
 
     def run(batches):
         total = make(c for b in batches for c in _text.chunks(b.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["z"])
 
-    parts = texts.mapInArrow(run, "z binary").rdd.map(lambda r: np.frombuffer(r[0], "<f4").astype(np.float64))
-    return parts.treeReduce(lambda a, b: a + b, depth=3) if parts.getNumPartitions() else np.zeros(0)
+    def add(batches):
+        total = None
+        for b in batches:
+            for z in b.column(0):
+                one = np.frombuffer(z.as_buffer(), "<f4").astype(np.float64)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["z"])
+
+    parts = texts.mapInArrow(run, "z binary")
+    n = parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    merged = parts.repartition(int(n)).mapInArrow(add, "z binary").repartition(1).mapInArrow(add, "z binary")
+    got = merged.first()
+    return np.frombuffer(got[0], "<f4").astype(np.float64) if got else np.zeros(0)
 
 
 def _frequencies(chunks) -> np.ndarray:
@@ -135,6 +148,7 @@ class Space:
 
 
 def fit(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", seed: int = 0) -> Space:
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("t")).unionByName(items.select(F.col(item_text).alias("t")))
     df = _summed(texts, _frequencies)
     n, df = df[-1], df[:-1]
@@ -296,6 +310,7 @@ def _screen(shared) -> Screen:
 def hits(docs: DataFrame, items: DataFrame, space: Space | None = None, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document and confirmed item: id, item_id, cosine, lcs and answer (shares of the item's words), first_word of the region."""
     spark = docs.sparkSession
+    small_batches(spark)
     space = space or fit(docs, items, text_col, item_text)
     kind = docs.schema[id_col].dataType.simpleString()
     out = None

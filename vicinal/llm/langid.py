@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._held import held
+from ._session import small_batches
 
 #: Labelled rows a language whose text may be used, and bytes of it that are.
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 24_000
@@ -191,6 +192,7 @@ def predict(df: DataFrame, sample: dict[str, bytes], id_col: str = "doc_id", tex
             langs, scores = classify(b.column(1), sample)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").toDF(id_col, "lang_pred", "score")
 
@@ -204,4 +206,5 @@ def keep_known(df: DataFrame, sample: dict[str, bytes], text_col: str = "text")
             langs, _ = classify(b.column(at), sample)
             yield b.filter(pa.array(langs != "und"))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

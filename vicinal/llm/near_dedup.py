@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._prefilter import marked
-from ._session import written
+from ._session import small_batches, written
 from .components import components
 
 WIDTH, THRESHOLD = 5, (75, 100)
@@ -92,6 +92,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 ["id", "n_shingles", "fp_a", "fp_b", "sign"],
             )
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles bigint, fp_a bigint, fp_b bigint, sign binary")
 

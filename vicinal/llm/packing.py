@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from . import _text
 from ._held import held
-from ._session import written
+from ._session import small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -158,6 +158,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     ["id", "piece", "start", "length", "ids_crc32", "part", "nth"],
                 )
 
+    small_batches(df.sparkSession)
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint"
     return df.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._session import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
@@ -145,4 +147,5 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
             cols[at] = pa.array([masked(t) for t in cols[at].to_pylist()], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
