@@ -82,6 +82,14 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench, space).collect()} == set(range(150)) - {d for d, _ in got}
 
 
+def test_leaks_of_odd_rows(spark, odd, none):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "a row with no such words at all"), (4, "a row with no such words at all")], "item_id long, text string")
+    docs = odd.withColumn("item_id", F.lit(7))
+    assert decontaminate.hits(docs, items).count() == 0 and decontaminate.clean(docs, items).columns == docs.columns
+    assert decontaminate.hits(docs, items.limit(0)).count() == 0 and decontaminate.clean(none, items).count() == 0
+    assert decontaminate.hits(none, items.limit(0)).count() == 0
+
+
 def test_lcs_bits():
     rng = random.Random(3)
     screen = decontaminate.Screen(decontaminate.Space(np.zeros((8193, 4), np.float32)), [1], ["a b c d e f g h a b"])

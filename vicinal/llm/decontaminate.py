@@ -74,7 +74,7 @@ def _padded(table: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
 
-def _summed(texts: DataFrame, make) -> np.ndarray:
+def _summed(texts: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
     """The sum over all tasks of the array that make(chunks) returns, added up in two rounds of partial sums."""
 
     def run(batches):
@@ -94,7 +94,7 @@ def _summed(texts: DataFrame, make) -> np.ndarray:
     n = parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     merged = parts.repartition(int(n)).mapInArrow(add, "z binary").repartition(1).mapInArrow(add, "z binary")
     got = merged.first()
-    return np.frombuffer(got[0], "<f4").astype(np.float64) if got else np.zeros(0)
+    return np.frombuffer(got[0], "<f4").astype(np.float64).reshape(shape) if got else np.zeros(shape)
 
 
 def _frequencies(chunks) -> np.ndarray:
@@ -150,12 +150,12 @@ class Space:
 def fit(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", seed: int = 0) -> Space:
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("t")).unionByName(items.select(F.col(item_text).alias("t")))
-    df = _summed(texts, _frequencies)
+    df = _summed(texts, _frequencies, ((1 << BITS) + 1,))
     n, df = df[-1], df[:-1]
     idf = np.where(df <= MOST_FREQUENT * n, np.log((1 + n) / (1 + df)), 0)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(1 << BITS, RANK + OVERSAMPLE)))[0]
     for _ in range(PASSES):
-        z = _summed(texts, _pull(idf, q)).reshape(q.shape)
+        z = _summed(texts, _pull(idf, q), q.shape)
         q = np.linalg.svd(z, full_matrices=False)[0]
     q = q[:, DROPPED:RANK]
     return Space(_padded(idf[:, None] * q))
