@@ -75,7 +75,7 @@ def _padded(table: np.ndarray) -> np.ndarray:
 
 
 def _summed(texts: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all tasks of the array that make(chunks) returns, added up in two rounds of partial sums."""
+    """The sum over all tasks of the array that make(chunks) returns, added up in three rounds of partial sums."""
 
     def run(batches):
         total = make(c for b in batches for c in _text.chunks(b.column(0)))
@@ -91,9 +91,10 @@ def _summed(texts: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["z"])
 
     parts = texts.mapInArrow(run, "z binary")
-    n = parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    merged = parts.repartition(int(n)).mapInArrow(add, "z binary").repartition(1).mapInArrow(add, "z binary")
-    got = merged.first()
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for width in (n, max(1, round(n**0.5)), 1):  # the last task reads about the square root of n arrays
+        parts = parts.repartition(width).mapInArrow(add, "z binary")
+    got = parts.first()
     return np.frombuffer(got[0], "<f4").astype(np.float64).reshape(shape) if got else np.zeros(shape)
 
 
