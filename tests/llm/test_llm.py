@@ -151,6 +151,36 @@ def test_large_regions_are_parted(monkeypatch):
     assert len(set(root)) == 1 and len(links) == 149
 
 
+def test_pairs_that_a_parted_region_parts_are_left_to_no_earlier_tree(monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 60)
+    rng = np.random.default_rng(15)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    passage, sets, pairs = fresh(100), [], []
+    for i in range(800):
+        own = fresh(100)
+        sets.append(np.unique(np.concatenate([passage, own])))
+        if i % 4 == 0:  # a near copy: 176 of 224 shingles shared
+            pairs.append((len(sets) - 1, len(sets)))
+            sets.append(np.unique(np.concatenate([passage, own[:76], fresh(24)])))
+    order = rng.permutation(len(sets))
+    place = np.argsort(order)
+    sign = np.stack([near_dedup.minima(sets[i]) for i in order])
+    head, tail = sign[:, : near_dedup.TREES], sign[:, near_dedup.TREES :].astype(np.uint8)
+    n = np.array([len(sets[i]) for i in order])
+    regions = [(t, np.flatnonzero(head[:, t] == key)) for t in range(near_dedup.TREES) for key in np.unique(head[:, t])]
+    parted = np.zeros(len(sets), np.int16)
+    for t, at in regions:
+        parted[at] |= (len(at) > near_dedup.REGION) << t
+    assert parted.any()
+    met = set()
+    for t, at in regions:
+        for part in near_dedup._likely(t, n[at], head[at], tail[at], parted[at]) if len(at) > 1 else ():
+            here = set(at[part].tolist())
+            met |= {p for p in pairs if place[p[0]] in here and place[p[1]] in here}
+            assert len(here) <= near_dedup.REGION
+    assert len(met) >= 0.99 * len(pairs)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == 13

@@ -4,13 +4,13 @@
    functions. Documents with equal sets become one node, named by the smallest id.
 2. The forest has TREES sorted orders of the nodes; tree t sorts by the minima t, t + 1, ... A region is a run with a common
    first minimum. Its depth adapts: a region of more than REGION nodes is sorted on and parted at its longer common
-   prefixes, until the parts are small enough; nodes with the longest common prefixes stay neighbours throughout, and
-   each part is also compared to the node nearest to the part's consensus, the likely original of many copies.
-   A pair whose signatures agree in too few places cannot be a link; a node that has a likely partner stays in the
-   region. A pair that an earlier tree's full prefix holds together already is left to that tree.
-3. Only nodes with likely partners fetch their texts again and carry their full sets to their regions, where pairs are confirmed in
+   prefixes, until the parts are small enough, TURNS times along different minima; nodes with the longest common prefixes
+   stay neighbours throughout, and all are also compared to the node nearest to the region's consensus, the likely
+   original of many copies. A pair whose signatures agree in too few places cannot be a link; a node that has a likely
+   partner stays in the part. A pair is left to an earlier tree only if that tree did not part its region.
+3. Only nodes with likely partners fetch their texts again and carry their full sets to their parts, where pairs are confirmed in
    descending order of agreement. A pair that confirmed links connect already needs no link of its own, so a
-   region of m nodes gives at most m - 1 links, of which components are then made.
+   part of m nodes gives at most m - 1 links, of which components are then made.
 
 A link at the threshold of 0.75 is seen by at least one of the 8 trees with probability 1 - 0.25**8, and passes the
 signature test with probability over 0.999.
@@ -39,6 +39,8 @@ TREES, HASHES = 8, 96
 LEAST_AGREE = 57
 #: Nodes of a region that are compared with one another; a larger region is parted.
 REGION = 6000
+#: Ways in which a larger region is parted, each along minima of its own, and how far apart those begin.
+TURNS, TURN_STEP = 4, 23
 
 _SEEDS = _text.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -124,7 +126,7 @@ def _signs(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw[:, : 4 * TREES]).view("<u4"), raw[:, 4 * TREES :]
 
 
-def parts(tree: int, head: np.ndarray, tail: np.ndarray) -> list[np.ndarray]:
+def parts(tree: int, head: np.ndarray, tail: np.ndarray, turn: int = 0) -> list[np.ndarray]:
     """A region's nodes in its tree's order, parted at longer common prefixes while a part is too large."""
     out, todo = [], [(np.arange(len(head)), 1)]
     while todo:
@@ -133,7 +135,7 @@ def parts(tree: int, head: np.ndarray, tail: np.ndarray) -> list[np.ndarray]:
             # Equal in every minimum: neighbours in the order stand for the rest.
             out += [at[i : i + REGION] for i in range(0, len(at), REGION - 1)] if len(at) > REGION else [at]
             continue
-        i = (tree + depth) % HASHES
+        i = (tree + depth + turn * TURN_STEP) % HASHES
         key = head[at, i] if i < TREES else tail[at, i - TREES]
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
@@ -161,44 +163,78 @@ def consensus(head: np.ndarray, tail: np.ndarray) -> int:
     return int(votes.argmax())
 
 
-def _likely(tree: int, n: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Which of a region's nodes have a partner that may be a link and that no earlier tree compares."""
-    found = np.zeros(len(n), bool)
+def _likely(tree: int, n: np.ndarray, head: np.ndarray, tail: np.ndarray, parted: np.ndarray) -> list[np.ndarray]:
+    """A region's nodes, part by part, that have a partner there that may be a link and that no earlier tree surely compares.
+
+    Bit t of parted: tree t parts the node's region, so that a common minimum there does not say that it compares a pair.
+    """
     num, den = THRESHOLD
+    whole = (parted[:, None] >> np.arange(TREES)) & 1 == 0
+    spots: list[np.ndarray] = []  # each node's part in the turns before
 
-    def compare(one: int, others: np.ndarray) -> None:
-        ok = np.minimum(n[others], n[one]) * den >= np.maximum(n[others], n[one]) * num
-        others = others[ok]
+    def partners(one: int, others: np.ndarray) -> np.ndarray:
+        others = others[np.minimum(n[others], n[one]) * den >= np.maximum(n[others], n[one]) * num]
         if not len(others):
-            return
+            return others
         h = head[others] == head[one]
         same = h.sum(axis=1) + (tail[others] == tail[one]).sum(axis=1)
-        ok = (same >= LEAST_AGREE) & ~h[:, :tree].any(axis=1)
-        if ok.any():
-            found[one] = True
-            found[others[ok]] = True
+        ok = (same >= LEAST_AGREE) & ~(h & whole[one])[:, :tree].any(axis=1)
+        others = others[ok]
+        for spot in spots:
+            others = others[~(spot[others] == spot[one])]
+        return others
 
-    whole = parts(tree, head, tail)
-    for at in whole:
-        for i in range(len(at) - 1):
-            compare(int(at[i]), at[i + 1 :])
-    if len(whole) > 1:
-        compare(consensus(head, tail), np.arange(len(n)))
-    return found
+    out = []
+    for turn in range(TURNS if len(n) > REGION else 1):
+        spot = np.full(len(n), -1)
+        cut = parts(tree, head, tail, turn)
+        for p, at in enumerate(cut):
+            found = np.zeros(len(n), bool)
+            for i in range(len(at) - 1):
+                others = partners(int(at[i]), at[i + 1 :])
+                found[others] = True
+                found[at[i]] |= len(others) > 0
+            out.append(np.flatnonzero(found))
+            spot[at] = p
+        spots.append(spot)
+    if len(n) > REGION:
+        one = consensus(head, tail)
+        others = partners(one, np.delete(np.arange(len(n)), one))
+        out += [np.append(others[i : i + REGION - 1], one) for i in range(0, len(others), REGION - 1)]
+    return [x for x in out if len(x)]
+
+
+def _large(nodes: DataFrame) -> list[np.ndarray]:
+    """For each tree the keys of the regions that it parts, sorted: at most one for REGION nodes."""
+
+    def keys(batches):
+        for b in batches:
+            head, _ = _signs(pa.chunked_array([b.column(0)])) if b.num_rows else (np.zeros((0, TREES), np.uint32), None)
+            tree = np.tile(np.arange(TREES, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(head.ravel().astype(np.int64))], ["tree", "key"])
+
+    counts = nodes.select("sign").mapInArrow(keys, "tree int, key bigint").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") > REGION).select("tree", "key").collect()
+    return [np.array(sorted(r["key"] for r in found if r["tree"] == t), np.int64) for t in range(TREES)]
 
 
 def _active(nodes: DataFrame) -> DataFrame:
-    """tree, key, id: the regions in which each node has a likely partner."""
+    """tree, key, part, id: the parts of regions in which each node has a likely partner."""
+    large = nodes.sparkSession.sparkContext.broadcast(_large(nodes))
 
     def spread(batches):
         for b in batches:
             head, _ = _signs(pa.chunked_array([b.column(2)])) if b.num_rows else (np.zeros((0, TREES), np.uint32), None)
+            parted = np.zeros(b.num_rows, np.int16)
+            for t, keys in enumerate(large.value):
+                if len(keys):
+                    parted |= np.isin(head[:, t], keys).astype(np.int16) << t
             rows = np.repeat(np.arange(b.num_rows), TREES)
             tree = np.tile(np.arange(TREES), b.num_rows)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree.astype(np.int32)), pa.array(head.ravel().astype(np.int64)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)],
-                ["tree", "key", "id", "n", "sign"],
+                [pa.array(tree.astype(np.int32)), pa.array(head.ravel().astype(np.int64)), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(parted[rows])],
+                ["tree", "key", "id", "n", "sign", "parted"],
             )
 
     def run(batches):
@@ -206,10 +242,10 @@ def _active(nodes: DataFrame) -> DataFrame:
         for (tree, key), t in _groups(batches, 2):
             if t.num_rows < 2:
                 continue
-            found = _likely(int(tree), np.asarray(t.column(3)), *_signs(t.column(4)))
-            if found.any():
-                out.append(t.select(["tree", "key", "id"]).filter(pa.array(found)))
-                size += out[-1].num_rows
+            region = t.select(["tree", "key", "id"])
+            for part, at in enumerate(_likely(int(tree), np.asarray(t.column(3)), *_signs(t.column(4)), np.asarray(t.column(5)))):
+                out.append(region.take(pa.array(at)).add_column(2, "part", pa.array(np.full(len(at), part, np.int32))))
+                size += len(at)
             if size > 20_000:
                 yield from pa.concat_tables(out).combine_chunks().to_batches()
                 out, size = [], 0
@@ -217,13 +253,13 @@ def _active(nodes: DataFrame) -> DataFrame:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
 
     kind = nodes.schema["id"].dataType.simpleString()
-    rows = nodes.select("id", "n_shingles", "sign").mapInArrow(spread, f"tree int, key bigint, id {kind}, n bigint, sign binary")
+    rows = nodes.select("id", "n_shingles", "sign").mapInArrow(spread, f"tree int, key bigint, id {kind}, n bigint, sign binary, parted smallint")
     ordered = rows.repartition("tree", "key").sortWithinPartitions("tree", "key")
-    return ordered.mapInArrow(run, f"tree int, key bigint, id {kind}")
+    return ordered.mapInArrow(run, f"tree int, key bigint, part int, id {kind}")
 
 
 def confirmed(tree: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect all of a region's nodes that its links connect, each confirmed on the full sets."""
+    """Links that connect all of these nodes that their links connect, each confirmed on the full sets. No node is parted from another."""
     num, den = THRESHOLD
     sign = np.stack([minima(s) for s in sets])
     head, tail = sign[:, :TREES], sign[:, TREES:].astype(np.uint8)
@@ -250,29 +286,26 @@ def confirmed(tree: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             root[rb] = ra
             links.append((a, b))
 
-    whole = parts(tree, head, tail)
     middle = consensus(head, tail)
     if len(sets) > 2:  # the likely original first: it connects most copies at once
         for b in range(len(sets)):
             if b != middle and min(n[b], n[middle]) * den >= max(n[b], n[middle]) * num:
                 test(middle, b)
-    for at in whole:
-        for i in range(len(at) - 1):
-            one, others = int(at[i]), at[i + 1 :]
-            ok = np.minimum(n[others], n[one]) * den >= np.maximum(n[others], n[one]) * num
-            others = others[ok]
-            same = (head[others] == head[one]).sum(axis=1) + (tail[others] == tail[one]).sum(axis=1)
-            good = same >= LEAST_AGREE
-            others, same = others[good], same[good]
-            for j in np.argsort(-same, kind="stable").tolist():
-                test(one, int(others[j]))
+    for one in range(len(sets) - 1):
+        others = np.arange(one + 1, len(sets))
+        others = others[np.minimum(n[others], n[one]) * den >= np.maximum(n[others], n[one]) * num]
+        same = (head[others] == head[one]).sum(axis=1) + (tail[others] == tail[one]).sum(axis=1)
+        good = same >= LEAST_AGREE
+        others, same = others[good], same[good]
+        for j in np.argsort(-same, kind="stable").tolist():
+            test(one, int(others[j]))
     return links
 
 
 def _links(docs: DataFrame, active: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """a, b: confirmed links. A node's text is fetched once, its set goes to each of its regions (TREES at most)."""
+    """a, b: confirmed links. A node's text is fetched once, its set goes to each of its parts: one a region, TURNS and the consensus' if that is parted."""
     kind = docs.schema[id_col].dataType.simpleString()
-    regions = active.groupBy("id").agg(F.collect_list(F.struct("tree", "key")).alias("regions"))
+    regions = active.groupBy("id").agg(F.collect_list(F.struct("tree", "key", "part")).alias("regions"))
     # Most texts have no likely partner and stay where they are.
     texts = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", active.select("id").distinct(), "id")
     held = texts.where("__maybe").drop("__maybe").join(regions, "id")
@@ -281,16 +314,16 @@ def _links(docs: DataFrame, active: DataFrame, id_col: str, text_col: str, width
         for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             sets = [s for c in _text.chunks(b.column(1)) for s in shingles(c.data, c.bounds, width)]
             regions = b.column(2).to_pylist()
-            rows = [(i, r["tree"], r["key"]) for i, rs in enumerate(regions) for r in rs]
-            at, tree, key = zip(*rows, strict=True)
+            rows = [(i, r["tree"], r["key"], r["part"]) for i, rs in enumerate(regions) for r in rs]
+            at, tree, key, part = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tree, pa.int32()), pa.array(key, pa.int64()), b.column(0).take(pa.array(at)), pa.array([sets[i].tobytes() for i in at], pa.large_binary()).cast(pa.binary())],
-                ["tree", "key", "id", "set"],
+                [pa.array(tree, pa.int32()), pa.array(key, pa.int64()), pa.array(part, pa.int32()), b.column(0).take(pa.array(at)), pa.array([sets[i].tobytes() for i in at], pa.large_binary()).cast(pa.binary())],
+                ["tree", "key", "part", "id", "set"],
             )
 
     def run(batches):
-        for (tree, _), t in _groups(batches, 2):
-            ids, raw = t.column(2).combine_chunks(), t.column(3).to_pylist()
+        for (tree, _, _), t in _groups(batches, 3):
+            ids, raw = t.column(3).combine_chunks(), t.column(4).to_pylist()
             first = list({(i, x): n for n, (i, x) in reversed(list(enumerate(zip(ids.to_pylist(), raw, strict=True))))}.values())  # of repeated rows
             if len(first) < 2:
                 continue
@@ -300,8 +333,8 @@ def _links(docs: DataFrame, active: DataFrame, id_col: str, text_col: str, width
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
 
-    rows = held.mapInArrow(spread, f"tree int, key bigint, id {kind}, set binary")
-    ordered = rows.repartition("tree", "key").sortWithinPartitions("tree", "key")
+    rows = held.mapInArrow(spread, f"tree int, key bigint, part int, id {kind}, set binary")
+    ordered = rows.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part")
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
