@@ -82,6 +82,15 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench, space).collect()} == set(range(150)) - {d for d, _ in got}
 
 
+def test_leaks_are_found_whatever_the_cosine():
+    rng = random.Random(23)
+    items = [prose(rng, n) for n in (6, 12, 40, 90, 200)] + ["the of the of a the of a in the of"]
+    words = [f"{prose(rng, 70)} {' '.join('z' if j % 5 == 4 else x for j, x in enumerate(i.split()))} {prose(rng, 70)}" for i in items]
+    screen = decontaminate.Screen(decontaminate.Space(np.zeros((8193, 4), np.float32)), list(range(6)), items)
+    chunk = next(_text.chunks(pa.array(words + [prose(rng, 3000)])))
+    assert [(x[0], x[1]) for x in screen.hits(chunk)] == [(i, i) for i in range(6)]
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "a row with no such words at all"), (4, "a row with no such words at all")], "item_id long, text string")
     docs = odd.withColumn("item_id", F.lit(7))

@@ -7,7 +7,7 @@
    apart, are left out, as they make all texts of a language alike.
 3. Windows of every document, of three widths a quarter of a width apart, are compared with the items in the latent space; the
    cosine proposes candidates. Of those, regions that hold too few of an item's words for any common subsequence to confirm
-   them are passed over.
+   them are passed over. Every other region that holds enough of them is a candidate too, whatever its cosine is.
 4. A candidate region is confirmed word by word: by the longest common subsequence with the whole item, or by a shorter one
    together with the item's answer, its last words. So reworded, interrupted and re-punctuated copies are found too.
 
@@ -194,22 +194,32 @@ class Screen:
         self.by_width = {w: (np.array([n for n, _ in x]), _unit(np.stack([v for _, v in x]))) for w, x in by_width.items() if x}
 
     def _index_words(self) -> None:
-        """Rare words of the items, the items that have them, and what an item's common words add to any region's count."""
-        sets = [np.unique(x) for x in self.items]
-        word = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        known, inverse, df = np.unique(word, return_inverse=True, return_counts=True)
-        rare = df <= max(1, COMMON * len(sets))
-        keep = rare[inverse]
-        order = np.argsort(inverse[keep], kind="stable")
-        self.rare, self.rare_items = known[rare], item[keep][order]
-        self.rare_first = np.concatenate([[0], np.cumsum(df[rare])])
+        """Rare words of each item, by word, and how many of them any region must hold that a common subsequence can confirm.
+
+        Rare are words of at most COMMON of the items; an item without enough of those takes its next rarest words too.
+        """
         size = self.sizes = np.array([len(x) for x in self.items], np.int64)
-        listed = known[rare]
-        commons = size - np.array([np.isin(x, listed).sum() for x in self.items], np.int64)
-        repeats = size - commons - np.array([np.isin(x, listed).sum() for x in sets], np.int64)
-        self.needed = np.ceil(LCS_WITH_ANSWER * size - 1e-9).astype(np.int64) - commons  # rare words that a region must hold
-        self.distinct_needed = self.needed - repeats  # different ones
+        sets = [np.unique(x, return_counts=True) for x in self.items]
+        known, df = np.unique(np.concatenate([*(x for x, _ in sets), np.zeros(0, np.uint64)]), return_counts=True)
+        least = np.ceil(LCS_WITH_ANSWER * size - 1e-9).astype(np.int64)
+        self.needed, self.distinct_needed = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+        words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, (x, times) in enumerate(sets):
+            d = df[np.searchsorted(known, x)]
+            order = np.argsort(d, kind="stable")
+            covered = np.cumsum(times[order])
+            goal = -(-size[i] // 4) + size[i] - least[i]
+            n = max(int((d <= max(1, COMMON * len(sets))).sum()), int(np.searchsorted(covered, goal)) + 1)
+            self.needed[i] = least[i] - (size[i] - covered[n - 1])
+            self.distinct_needed[i] = self.needed[i] - (covered[n - 1] - n)
+            words.append(x[order[:n]])
+            owners.append(np.full(n, i))
+        word, item = np.concatenate(words), np.concatenate(owners)
+        order = np.argsort(word, kind="stable")
+        self.rare, n = np.unique(word, return_counts=True)
+        self.rare_items = item[order]
+        self.rare_first = np.concatenate([[0], np.cumsum(n)])
+        self.width = np.array([next((w for w in WIDTHS if w >= n), WIDTHS[-1]) for n in size.tolist()], np.int64)
 
     def _rare_places(self, h: np.ndarray) -> np.ndarray:
         """Sorted item * len(h) + position of every rare word of an item in these words."""
@@ -224,6 +234,23 @@ class Screen:
         listed = np.repeat(self.rare_first[at] - first, n) + np.arange(n.sum())
         return np.sort(self.rare_items[listed] * len(h) + np.repeat(where, n))
 
+    def _exact(self, places: np.ndarray, row_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """item, first and last word of every region that has as many of an item's rare words within a stretch as it needs."""
+        n = len(row_of_word)
+        item = places // n
+        last = np.arange(len(places)) + self.needed[item] - 1
+        at = np.flatnonzero(last < len(places))
+        last = last[at]
+        ok = (item[last] == item[at]) & (places[last] - places[at] < 2 * self.sizes[item[at]] + self.width[item[at]])
+        at, last = at[ok], last[ok]
+        lo, hi, item = places[at] - item[at] * n, places[last] - item[at] * n, item[at]
+        ok = row_of_word[lo] == row_of_word[hi]
+        lo, hi, item = lo[ok], hi[ok], item[ok]
+        fresh = np.ones(len(lo), bool)
+        fresh[1:] = (item[1:] != item[:-1]) | (row_of_word[lo[1:]] != row_of_word[lo[:-1]]) | (lo[1:] > hi[:-1])
+        cuts = np.flatnonzero(fresh)
+        return item[cuts], lo[cuts], hi[np.append(cuts[1:], len(lo)) - 1] if len(cuts) else hi[cuts]
+
     def lcs(self, item: int, words: list[int]) -> int:
         """Bits of the item's words that a longest common subsequence with these words matches (bit-parallel)."""
         mask, full = self.masks[item], (1 << len(self.items[item])) - 1
@@ -246,7 +273,29 @@ class Screen:
         blocks = _block_sums(self.words, f, at, block_end)
         before = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
         places = self._rare_places(h)
+        row_of_word = np.repeat(np.arange(c.rows), np.diff(w.rows))
+        exact = self._exact(places, row_of_word)
         best: dict[tuple[int, int], tuple] = {}
+
+        def confirm(item: int, r: int, lo: int, hi: int, a_p: int, z_p: int, width: int, cosine_of) -> None:
+            found_at = places[a_p:z_p] - item * len(h)
+            size, need = len(self.items[item]), self.distinct_needed[item]
+            if need > 0 and len(set(h[found_at].tolist())) < need:
+                return
+            # Regions much longer than the item are confirmed in overlapping stretches, so that scattered words do not add up.
+            stretch = 2 * size + width
+            for s in range(lo, max(lo + 1, hi - stretch // 2), stretch // 2) if hi - lo > stretch else (lo,):
+                to = min(s + stretch, hi)
+                if hi - lo > stretch and len(set(h[found_at[(found_at >= s) & (found_at < to)]].tolist())) < need:
+                    continue
+                got = self.lcs(item, h[s:to].tolist())
+                share = got.bit_count() / size
+                tail = max(2, size // ANSWER_SHARE)
+                answer = (got >> (size - tail)).bit_count() / tail
+                if share >= LCS_ALONE or share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND:
+                    if (r, item) not in best or share > best[r, item][0]:
+                        best[r, item] = (share, cosine_of(), answer, s - int(w.rows[r]))
+
         for width, (owner, vectors) in self.by_width.items():
             n_blocks, step = width // BLOCK, max(1, width // BLOCK // 4)
             begin = np.flatnonzero((np.arange(len(at)) - first[row_of_block]) % step == 0)
@@ -273,25 +322,24 @@ class Screen:
             los = np.maximum(at[begin[win[cuts]]] - reach, w.rows[rows])
             his = np.minimum(block_end[end[win[stops - 1]] - 1] + reach, w.rows[rows + 1])
             opens, shuts = np.searchsorted(places, items * len(h) + los), np.searchsorted(places, items * len(h) + his)
-            for a, z, item, r, lo, hi, a_p, z_p in zip(*(x.tolist() for x in (cuts, stops, items, rows, los, his, opens, shuts)), strict=True):
-                found_at = places[a_p:z_p] - item * len(h)
-                size, need = len(self.items[item]), self.distinct_needed[item]
-                if need > 0 and len(set(h[found_at].tolist())) < need:
+            for a, z, *region in zip(*(x.tolist() for x in (cuts, stops, items, rows, los, his, opens, shuts)), strict=True):
+                confirm(*region, width, lambda a=a, z=z: float(cosine[col[a], win[a:z]].max()))
+            # Regions of enough rare words, whatever their cosine.
+            mine = self.width[exact[0]] == width
+            items, los, his = (x[mine] for x in exact)
+            rows = row_of_word[los]
+            reach = self.sizes[items] + width // 2
+            los, his = np.maximum(los - reach, w.rows[rows]), np.minimum(his + 1 + reach, w.rows[rows + 1])
+            opens, shuts = np.searchsorted(places, items * len(h) + los), np.searchsorted(places, items * len(h) + his)
+            for item, r, lo, hi, a_p, z_p in zip(*(x.tolist() for x in (items, rows, los, his, opens, shuts)), strict=True):
+                if (r, item) in best and best[r, item][0] == 1:
                     continue
-                # Regions much longer than the item are confirmed in overlapping stretches, so that scattered words do not add up.
-                stretch = 2 * size + width
-                for s in range(lo, max(lo + 1, hi - stretch // 2), stretch // 2) if hi - lo > stretch else (lo,):
-                    to = min(s + stretch, hi)
-                    if hi - lo > stretch and len(set(h[found_at[(found_at >= s) & (found_at < to)]].tolist())) < need:
-                        continue
-                    got = self.lcs(item, h[s:to].tolist())
-                    share = got.bit_count() / size
-                    tail = max(2, size // ANSWER_SHARE)
-                    answer = (got >> (size - tail)).bit_count() / tail
-                    if share >= LCS_ALONE or share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND:
-                        key, found = (r, item), (share, float(cosine[col[a], win[a:z]].max()), answer, s - int(w.rows[r]))
-                        if key not in best or found[0] > best[key][0]:
-                            best[key] = found
+
+                def nearest(item=item, lo=lo, hi=hi):
+                    over = (at[begin] < hi) & (block_end[end - 1] > lo)
+                    return float(cosine[owner == item][:, over].max())
+
+                confirm(item, r, lo, hi, a_p, z_p, width, nearest)
         return [(r, self.ids[i], cos, share, answer, s) for (r, i), (share, cos, answer, s) in sorted(best.items())]
 
 
