@@ -82,6 +82,18 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench, space).collect()} == set(range(150)) - {d for d, _ in got}
 
 
+def test_leaks_of_few_and_of_much_copied_passages(spark):
+    rng = random.Random(22)
+    item = prose(rng, 30)
+    few = spark.createDataFrame([(1, item), (2, prose(rng, 40))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.hits(few, bench).collect()] == [1]
+    copied = f"{prose(rng, 20)} {item} {prose(rng, 20)}"
+    docs = spark.createDataFrame([(d, copied if d % 3 == 0 else prose(rng, 150)) for d in range(120)], "doc_id long, text string")
+    got = decontaminate.hits(docs, bench).collect()
+    assert {r.doc_id for r in got} == set(range(0, 120, 3))
+
+
 def test_leaks_are_found_whatever_the_cosine():
     rng = random.Random(23)
     items = [prose(rng, n) for n in (6, 12, 40, 90, 200)] + ["the of the of a the of a in the of"]

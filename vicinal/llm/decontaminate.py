@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Passages of PASSAGE words of all documents and benchmark items are rows of a TF-IDF matrix over hashed words; document frequencies
-   are counted over all of them.
+   are counted over all of them. Words of very many passages keep a small weight.
 2. A distributed randomised SVD finds the leading right singular vectors: each pass adds up A'(A Q) over the tasks in a tree of
    partial sums of a fixed size, the driver only decomposes the sum. The first DROPPED vectors, which tell languages and function words
    apart, are left out, as they make all texts of a language alike.
@@ -35,8 +35,8 @@ BITS, RANK, DROPPED, OVERSAMPLE, PASSES = 13, 48, 4, 8, 1
 PASSAGE, BLOCK, WIDTHS = 64, 4, (16, 32, 64)
 LEAST_WORDS = 5
 COSINE = 0.4
-#: Hashed words of a larger share of the passages have no weight.
-MOST_FREQUENT = 0.1
+#: Hashed words of a larger share of the passages have the small weight WEAK.
+MOST_FREQUENT, WEAK = 0.1, 0.05
 #: Share of an item's words in a common subsequence that confirms it alone, and together with its answer.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER_SHARE, ANSWER_FOUND = 0.75, 0.55, 4, 0.8
 ITEM_SET = 4096
@@ -115,7 +115,10 @@ def _frequencies(chunks) -> np.ndarray:
 
 def _pull(idf: np.ndarray, q: np.ndarray):
     """chunks -> A'(A q), the rows of A being passages."""
-    scaled, weighs = _padded(idf[:, None] * q), idf > 0
+    scaled, weighs = _padded(idf[:, None] * q), idf > WEAK
+    weak = np.flatnonzero(~weighs)  # at most PASSAGE / MOST_FREQUENT of them occur
+    place = np.full(len(idf), -1)
+    place[weak] = np.arange(len(weak))
 
     def make(chunks):
         out = np.zeros(q.shape)
@@ -129,6 +132,11 @@ def _pull(idf: np.ndarray, q: np.ndarray):
             opens = (np.arange(len(at)) - first[row]) % (PASSAGE // BLOCK) == 0
             y = np.add.reduceat(blocks, np.flatnonzero(opens), axis=0)
             passage = np.repeat(np.cumsum(opens) - 1, np.diff(at, append=len(f)))
+            spot = place[f]
+            light = np.flatnonzero(spot >= 0)
+            used, column = np.unique(spot[light], return_inverse=True)
+            counts = np.bincount(passage[light] * len(used) + column, minlength=len(y) * len(used)).reshape(len(y), -1) if len(used) else np.zeros((len(y), 0))
+            out[weak[used]] += counts.T @ y
             weighing = np.flatnonzero(weighs[f])
             order = weighing[np.argsort(f[weighing], kind="stable")]
             if not len(order):
@@ -153,7 +161,7 @@ def fit(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: st
     texts = docs.select(F.col(text_col).alias("t")).unionByName(items.select(F.col(item_text).alias("t")))
     df = _summed(texts, _frequencies, ((1 << BITS) + 1,))
     n, df = df[-1], df[:-1]
-    idf = np.where(df <= MOST_FREQUENT * n, np.log((1 + n) / (1 + df)), 0)
+    idf = np.where(df <= MOST_FREQUENT * n, np.log((1 + n) / (1 + df)), WEAK)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(1 << BITS, RANK + OVERSAMPLE)))[0]
     for _ in range(PASSES):
         z = _summed(texts, _pull(idf, q), q.shape)
