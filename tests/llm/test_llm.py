@@ -103,6 +103,17 @@ def test_leaks_are_found_whatever_the_cosine():
     assert [(x[0], x[1]) for x in screen.hits(chunk)] == [(i, i) for i in range(6)]
 
 
+def test_leaks_of_short_items_and_of_scripts_without_spaces():
+    rng = random.Random(24)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(40))
+    items = ["Two words", "x", han(6), a := han(30), thai, "one two three four five"]
+    screen = decontaminate.Screen(decontaminate.Space(np.zeros((8193, 4), np.float32)), list(range(6)), items)
+    docs = ["so two, WORDS here", "two more words", "x", "xx", han(9) + items[2] + han(4), han(60) + a[:14] + "x" + a[15:] + han(70), thai[:5] + thai, "two", "words", f"é{a}b {prose(rng, 9)}"]
+    got = {(c.first + x[0], x[1]) for c in _text.chunks(pa.array(docs)) for x in screen.hits(c)}
+    assert got == {(0, 0), (2, 1), (4, 2), (5, 3), (6, 4), (9, 3)} | {(5, 1)}
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "a row with no such words at all"), (4, "a row with no such words at all")], "item_id long, text string")
     docs = odd.withColumn("item_id", F.lit(7))

@@ -13,7 +13,10 @@
 
 Items are taken in sets of ITEM_SET, each sent to the tasks once. Documents are never shuffled.
 
-Defined results: null or wordless texts and items of fewer than LEAST_WORDS words match nothing; ties between places go to the
+A character of a script without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) is a word, and counts as half of one below.
+
+Defined results: null or wordless texts match nothing; items of fewer than LEAST_WORDS words match where all their words stand
+in a row; ties between places go to the
 first; repeated documents and items are reported each; an empty table on either side gives no hits;
 extra columns are ignored by `hits` and passed through by `clean`.
 """
@@ -45,9 +48,31 @@ COMMON = 0.1
 HIT = "item_id bigint, cosine double, lcs double, answer double, first_word bigint"
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """First bytes of the characters of scripts without spaces."""
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 1 < len(data)]
+    a, b = data[at], data[at + 1]
+    ok = (a >= 0xE4) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b == 0x80) | (b == 0x81) | (b == 0x9E) | (b == 0x9F))
+    ok |= (a == 0xE3) & (b >= 0x81) | (a == 0xEF) & (b >= 0xA4) & (b <= 0xAB) | (a == 0xF0) & (b >= 0xA0)
+    return at[ok]
+
+
+def _cut(w: _text.Words, data: np.ndarray, bounds: np.ndarray) -> _text.Words:
+    """Words, cut around each character of a script without spaces."""
+    lead = _unspaced(data)
+    if not len(lead):
+        return w
+    edges = np.unique(np.concatenate([w.start, lead, lead + np.where(data[lead] == 0xF0, 4, 3)]))
+    word = np.searchsorted(w.start, edges, side="right") - 1
+    inside = edges < w.end[word]
+    start, word = edges[inside], word[inside]
+    return _text.Words(start, np.minimum(w.end[word], np.append(start[1:], len(data))), np.searchsorted(start, bounds))
+
+
 def _words(c: _text.Chunk) -> tuple[_text.Words, np.ndarray, np.ndarray]:
     data = _text.lower(c.data)
-    w = _text.words(data, c.bounds, _text.ALNUM)
+    w = _cut(_text.words(data, c.bounds, _text.ALNUM), data, c.bounds)
     h = _text.word_hashes(data, w)
     return w, h, (h >> np.uint64(64 - BITS)).astype(np.uint16)
 
@@ -180,12 +205,16 @@ class Screen:
     def __init__(self, space: Space, ids: list[int], texts: list[str | None]):
         self.words = space.words
         self.ids, self.items, self.masks = [], [], []
+        self.short: dict[int, list[tuple[int, int]]] = {}  # hash of the whole sequence and id, by the number of words
         by_width: dict[int, list[tuple[int, np.ndarray]]] = {w: [] for w in WIDTHS}
         for c in _text.chunks(pa.array(texts, pa.string())):
             w, h, f = _words(c)
+            half = np.cumsum(np.append(0, np.isin(w.start, _unspaced(c.data))))
             for r in range(c.rows):
                 a, z = int(w.rows[r]), int(w.rows[r + 1])
-                if z - a < LEAST_WORDS:
+                if z - a - (half[z] - half[a]) / 2 < LEAST_WORDS:
+                    if z > a:
+                        self.short.setdefault(z - a, []).append((int(_text.gram_hashes(h[a:z], z - a)[0]), ids[c.first + r]))
                     continue
                 n = len(self.items)
                 self.ids.append(ids[c.first + r])
@@ -242,6 +271,21 @@ class Screen:
         listed = np.repeat(self.rare_first[at] - first, n) + np.arange(n.sum())
         return np.sort(self.rare_items[listed] * len(h) + np.repeat(where, n))
 
+    def _whole(self, w: _text.Words, h: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
+        """Hits of the short items, each row's first place."""
+        out, row = [], _text.row_of(w)
+        for n, items in self.short.items():
+            grams = _text.gram_hashes(h, n)
+            at = np.flatnonzero(np.isin(grams, np.array([g for g, _ in items], np.uint64)) & _text.within_rows(w, n))
+            first: dict[tuple[int, int], int] = {}
+            for i in at.tolist():
+                first.setdefault((int(row[i]), int(grams[i])), i)
+            named: dict[int, list[int]] = {}
+            for g, one in items:
+                named.setdefault(g, []).append(one)
+            out += [(r, one, 1.0, 1.0, 1.0, i - int(w.rows[r])) for (r, g), i in first.items() for one in named[g]]
+        return out
+
     def _exact(self, places: np.ndarray, row_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """item, first and last word of every region that has as many of an item's rare words within a stretch as it needs."""
         n = len(row_of_word)
@@ -273,8 +317,11 @@ class Screen:
     def hits(self, c: _text.Chunk) -> list[tuple[int, int, float, float, float, int]]:
         """(row, item id, cosine, lcs, answer, first word of the region) of each confirmed item, its best place."""
         w, h, f = _words(c)
-        if not len(f) or not self.items:
+        if not len(f):
             return []
+        short = self._whole(w, h)
+        if not self.items:
+            return short
         at, first = _starts(w, BLOCK)
         row_of_block = np.repeat(np.arange(c.rows), np.diff(first))
         block_end = np.minimum(at + BLOCK, w.rows[row_of_block + 1])
@@ -348,7 +395,7 @@ class Screen:
                     return float(cosine[owner == item][:, over].max())
 
                 confirm(item, r, lo, hi, a_p, z_p, width, nearest)
-        return [(r, self.ids[i], cos, share, answer, s) for (r, i), (share, cos, answer, s) in sorted(best.items())]
+        return short + [(r, self.ids[i], cos, share, answer, s) for (r, i), (share, cos, answer, s) in sorted(best.items())]
 
 
 def _screens(space: Space, items: DataFrame, id_col: str, text_col: str):
