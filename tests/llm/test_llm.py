@@ -403,6 +403,18 @@ def test_top_k_equals_full_scoring():
         assert sorted((-int(s), int(i)) for s, i in zip(score[at == n], got[at == n], strict=True)) == want
 
 
+def test_top_k_of_strongly_negative_scores():
+    n = topk.BLOCK
+    rows, q = np.full((2 * n, 4), 3000.0), np.full((1, 4), -1000.0)
+    rows[:n, 3], rows[20:n, 3] = 2999, 3000 + 0.05  # the first block's 21st score is just below those of the second block
+    rows[:, 3] *= 100
+    rows[:, :3] *= 100
+    q *= 100
+    at, got, score = topk.search_blocks(np.arange(2 * n), rows, np.array([-1]), q, 21)
+    want = sorted((-int(s), i) for i, s in enumerate(rows @ q[0]))[:21]
+    assert sorted((-int(s), int(i)) for s, i in zip(score, got, strict=True)) == want
+
+
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (20, [0.5, 1.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (7, [0.25]), (8, []), (None, [1.0, 1.0]), (9, [1e9, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(1))

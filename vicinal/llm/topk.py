@@ -64,7 +64,7 @@ def search_blocks(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, q: np.nd
     low = np.stack([rows[s : s + BLOCK].min(axis=0) for s in starts])  # of the negative ones
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     if kind is not object:
-        bound = bound * (1 + 1e-5) + 1  # rounding in float32
+        bound = bound + np.abs(bound) * 1e-5 + 1  # rounding in float32
     turn = np.argsort(-bound, axis=1, kind="stable")
     n_q = len(q)
     kth = np.full(n_q, -np.inf)
