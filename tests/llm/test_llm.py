@@ -284,6 +284,14 @@ def test_base_spans_equal_the_patterns():
         assert [(k, a, z) for k, a, z, _ in pii.scan(text) if k != "iban"] == [(k, a, z) for a, _, z, k in sorted(want)]
 
 
+def test_ibans_before_upper_case_words():
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        for after in (" BIC", " EUR", " BIC COBADEFFXXX", ""):
+            assert [(k, a, z) for k, a, z, _ in pii.scan(f"to {iban}{after}") if k == "iban"] == [("iban", 3, 3 + len(iban))]
+    text = "AB12 DE89 3704 0044 0532 0130 00 EUR"
+    assert pii.masked(text) == "AB12 [IBAN] EUR"
+
+
 def test_checksums_context_and_masking(spark, odd, none):
     text = "My IBAN DE89 3704 0044 0532 0130 00, card 4111 1111 1111 1111, mail a.b@c.org"
     assert [s[0] for s in pii.scan(text)] == ["iban", "card", "email"] or {s[0] for s in pii.scan(text)} >= {"iban", "card", "email"}

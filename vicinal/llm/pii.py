@@ -78,6 +78,26 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or "0") <= 255
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """At each start the longest run of whole words that passes the checksum."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = m.end()
+        while end > m.start():
+            code = text[m.start() : end].replace(" ", "")
+            if len(code) < 15:
+                end = -1
+            elif len(code) <= 34 and mod97(code):
+                break
+            else:
+                end = text.rfind(" ", m.start(), end)
+        if end > m.start():
+            yield m.start(), end
+            at = end
+        else:
+            at = m.start() + 1
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, bool]]:
     """Spans (kind, start, end, checksum passed) in order of start and kind."""
     if not text:
@@ -95,10 +115,7 @@ def scan(text: str | None) -> list[tuple[str, int, int, bool]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 found.append(("phone", m.start(), m.end(), False))
-        for m in _IBAN.finditer(text):
-            code = m[0].replace(" ", "")
-            if 15 <= len(code) <= 34 and mod97(code):
-                found.append(("iban", m.start(), m.end(), True))
+        found += [("iban", a, b, True) for a, b in _ibans(text)]
     if len(found) > 1:
         found.sort(key=lambda s: (s[1], _ORDER[s[0]]))
     return found
