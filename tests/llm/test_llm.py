@@ -99,7 +99,7 @@ def test_leaks_are_found_whatever_the_cosine():
     items = [prose(rng, n) for n in (6, 12, 40, 90, 200)] + ["the of the of a the of a in the of"]
     words = [f"{prose(rng, 70)} {' '.join('z' if j % 5 == 4 else x for j, x in enumerate(i.split()))} {prose(rng, 70)}" for i in items]
     screen = decontaminate.Screen(decontaminate.Space(np.zeros((8193, 4), np.float32)), list(range(6)), items)
-    chunk = next(_text.chunks(pa.array(words + [prose(rng, 3000)])))
+    chunk = next(decontaminate._chunks(pa.array(words + [prose(rng, 3000)])))
     assert [(x[0], x[1]) for x in screen.hits(chunk)] == [(i, i) for i in range(6)]
 
 
@@ -110,7 +110,7 @@ def test_leaks_of_short_items_and_of_scripts_without_spaces():
     items = ["Two words", "x", han(6), a := han(30), thai, "one two three four five"]
     screen = decontaminate.Screen(decontaminate.Space(np.zeros((8193, 4), np.float32)), list(range(6)), items)
     docs = ["so two, WORDS here", "two more words", "x", "xx", han(9) + items[2] + han(4), han(60) + a[:14] + "x" + a[15:] + han(70), thai[:5] + thai, "two", "words", f"é{a}b {prose(rng, 9)}"]
-    got = {(c.first + x[0], x[1]) for c in _text.chunks(pa.array(docs)) for x in screen.hits(c)}
+    got = {(c.first + x[0], x[1]) for c in decontaminate._chunks(pa.array(docs)) for x in screen.hits(c)}
     assert got == {(0, 0), (2, 1), (4, 2), (5, 3), (6, 4), (9, 3)} | {(5, 1)}
 
 

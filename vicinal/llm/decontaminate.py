@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -43,8 +44,8 @@ LEAST_WORDS = 5
 COSINE = 0.4
 #: Hashed words of a larger share of the passages have the small weight WEAK.
 MOST_FREQUENT, WEAK = 0.1, 0.05
-#: Share of an item's words in a common subsequence that confirms it alone, and together with its answer.
-LCS_ALONE, LCS_WITH_ANSWER, ANSWER_SHARE, ANSWER_FOUND = 0.75, 0.55, 4, 0.8
+#: Share of an item's words in a common subsequence that confirms it alone (for an item of at least LONG words), and together with its answer.
+LCS_ALONE, LONG, LCS_LONG, LCS_WITH_ANSWER, ANSWER_SHARE, ANSWER_FOUND = 0.75, 16, 0.65, 0.55, 4, 0.8
 ITEM_SET = 4096
 #: A word that a larger share of the items has counts as present everywhere when regions are passed over.
 COMMON = 0.1
@@ -73,10 +74,14 @@ def _cut(w: _text.Words, data: np.ndarray, bounds: np.ndarray) -> _text.Words:
     return _text.Words(start, np.minimum(w.end[word], np.append(start[1:], len(data))), np.searchsorted(start, bounds))
 
 
+def _chunks(column: pa.Array):
+    """Chunks of the texts in lower case, letters beyond ASCII too."""
+    return _text.chunks(pc.utf8_lower(column))
+
+
 def _words(c: _text.Chunk) -> tuple[_text.Words, np.ndarray, np.ndarray]:
-    data = _text.lower(c.data)
-    w = _cut(_text.words(data, c.bounds, _text.ALNUM), data, c.bounds)
-    h = _text.word_hashes(data, w)
+    w = _cut(_text.words(c.data, c.bounds, _text.ALNUM), c.data, c.bounds)
+    h = _text.word_hashes(c.data, w)
     return w, h, (h >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
@@ -118,7 +123,7 @@ def _summed(texts: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
     """The sum over all tasks of the array that make(chunks) returns, added up in rounds of partial sums of about FAN_IN arrays each."""
 
     def run(batches):
-        total = make(c for b in batches for c in _text.chunks(b.column(0)))
+        total = make(c for b in batches for c in _chunks(b.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["z"])
 
     def add(batches):
@@ -218,7 +223,7 @@ class Screen:
         self.words, self.ids = space.words, ids
         self.short: dict[int, list[tuple[int, int]]] = {}  # hash of the whole sequence and place, by the number of words
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for c in _text.chunks(pa.array(texts, pa.string())):
+        for c in _chunks(pa.array(texts, pa.string())):
             w, h, f = _words(c)
             half = np.cumsum(np.append(0, np.isin(w.start, _unspaced(c.data))))
             for r in range(c.rows):
@@ -465,7 +470,8 @@ class Screen:
             share = got.bit_count() / size
             tail = max(2, size // ANSWER_SHARE)
             answer = (got >> (size - tail)).bit_count() / tail
-            if (share >= LCS_ALONE or share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND) and ((r, item) not in best or share > best[r, item][0]):
+            alone = LCS_LONG if size >= LONG else LCS_ALONE
+            if (share >= alone or share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND) and ((r, item) not in best or share > best[r, item][0]):
                 best[r, item] = (share, cosine if cosine == cosine else self._nearest(item, lo, hi, windows, at, block_end), answer, lo - int(rows[r]))
         return [(r, int(self.places[i]), cos, share, answer, s) for (r, i), (share, cos, answer, s) in sorted(best.items())]
 
@@ -506,7 +512,7 @@ def hits(docs: DataFrame, items: DataFrame, space: Space | None = None, id_col:
         def run(batches, shared=shared):
             screen, times = _screen(shared), shared.value[3]
             for b in batches:
-                rows = [(c.first + x[0], *x[1:]) for c in _text.chunks(b.column(1)) for x in screen.hits(c)]
+                rows = [(c.first + x[0], *x[1:]) for c in _chunks(b.column(1)) for x in screen.hits(c)]
                 if rows:
                     r, item, cosine, lcs, answer, first = (np.repeat(x, times[[y[1] for y in rows]]) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -532,7 +538,7 @@ def clean(docs: DataFrame, items: DataFrame, space: Space | None = None, text_co
             screen = _screen(shared)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for c in _text.chunks(b.column(at)):
+                for c in _chunks(b.column(at)):
                     keep[[c.first + x[0] for x in screen.hits(c)]] = False
                 yield b.filter(pa.array(keep))
 
