@@ -170,12 +170,11 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_large_regions_are_parted(monkeypatch):
-    monkeypatch.setattr(near_dedup, "REGION", 20)
+def test_confirmed_links_connect_a_star():
     rng = np.random.default_rng(5)
     original = rng.integers(0, 2**63, 300, dtype=np.uint64)
     sets = [np.unique(np.where(rng.random(300) < 0.03, rng.integers(0, 2**63, 300, dtype=np.uint64), original)) for _ in range(150)]
-    links = near_dedup.confirmed(0, sets)
+    links = near_dedup.confirmed(sets)
     root = list(range(150))
     for a, b in links:
         ra, rb = root[a], root[b]
@@ -183,34 +182,57 @@ def test_large_regions_are_parted(monkeypatch):
     assert len(set(root)) == 1 and len(links) == 149
 
 
-def test_pairs_that_a_parted_region_parts_are_left_to_no_earlier_tree(monkeypatch):
+def linked_share(got, pairs):
+    component = {r.doc_id: r.component_id for r in got}
+    return sum(component[a] == component[b] for a, b in pairs) / len(pairs)
+
+
+@pytest.mark.parametrize("region", [100, 200])
+def test_links_within_parted_regions_are_found(spark, monkeypatch, region):
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    rng = random.Random(15)
+    passage, rows, pairs = prose(rng, 100, 10**6), [], []
+    for i in range(400):  # half of each text is one passage; a copy changes a stretch of its own half
+        own = prose(rng, 100, 10**6).split()
+        rows.append((2 * i, f"{passage} {' '.join(own)}"))
+        at = rng.randrange(75)
+        own[at : at + 20] = prose(rng, 20, 10**6).split()
+        rows.append((2 * i + 1, f"{passage} {' '.join(own)}"))
+        pairs.append((2 * i, 2 * i + 1))
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert linked_share(got, pairs) >= 0.99
+    wanted = {i: c for i, _, c in want}
+    assert all(wanted[r.doc_id] == wanted[r.component_id] for r in got)  # nothing is linked that is not
+
+
+def test_copies_of_one_text_beyond_a_region_are_found(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "REGION", 60)
-    rng = np.random.default_rng(15)
-    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
-    passage, sets, pairs = fresh(100), [], []
-    for i in range(800):
-        own = fresh(100)
-        sets.append(np.unique(np.concatenate([passage, own])))
-        if i % 4 == 0:  # a near copy: 176 of 224 shingles shared
-            pairs.append((len(sets) - 1, len(sets)))
-            sets.append(np.unique(np.concatenate([passage, own[:76], fresh(24)])))
-    order = rng.permutation(len(sets))
-    place = np.argsort(order)
-    sign = np.stack([near_dedup.minima(sets[i]) for i in order])
-    head, tail = sign[:, : near_dedup.TREES], sign[:, near_dedup.TREES :].astype(np.uint8)
-    n = np.array([len(sets[i]) for i in order])
-    regions = [(t, np.flatnonzero(head[:, t] == key)) for t in range(near_dedup.TREES) for key in np.unique(head[:, t])]
-    parted = np.zeros(len(sets), np.int16)
-    for t, at in regions:
-        parted[at] |= (len(at) > near_dedup.REGION) << t
-    assert parted.any()
-    met = set()
-    for t, at in regions:
-        for part in near_dedup._likely(t, n[at], head[at], tail[at], parted[at]) if len(at) > 1 else ():
-            here = set(at[part].tolist())
-            met |= {p for p in pairs if place[p[0]] in here and place[p[1]] in here}
-            assert len(here) <= near_dedup.REGION
-    assert len(met) >= 0.99 * len(pairs)
+    rng = random.Random(16)
+    original, rows = prose(rng, 300, 10**6).split(), []
+    for i in range(400):
+        copy = list(original)
+        for _ in range(rng.randrange(5)):
+            copy[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    # Texts with equal minima throughout are dealt by their sets.
+    long = prose(rng, 30_000, 10**6)
+    rows += [(1000 + i, f"{long} end{i}") for i in range(130)] + [(5000 + i, prose(rng, 80, 10**6)) for i in range(100)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    component = {r.doc_id: r.component_id for r in got}
+    assert {component[i] for i in range(400)} == {0} and {component[1000 + i] for i in range(130)} == {1000}
+    assert all(component[5000 + i] == 5000 + i for i in range(100))
+
+
+def test_runs_of_equal_keys():
+    rng = np.random.default_rng(8)
+    key = np.sort(rng.integers(0, 40, 500))
+    t = pa.table({"k": key, "v": np.arange(500)})
+    for size in (1, 7, 200, 500):
+        got = [(int(k[0]), x.column(1).to_pylist()) for k, x in near_dedup._groups(t.to_batches(size), 1)]
+        assert got == [(int(k), np.flatnonzero(key == k).tolist()) for k in np.unique(key)]
+    assert list(near_dedup._groups([], 1)) == []
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
