@@ -10,13 +10,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vicinal.config import NamespaceConfig
-from vicinal.errors import ConfigError, NormalizerError, SearchError
-from vicinal.functions.comparators import dense_l2, dense_ruzicka
+from vicinal.errors import CacheError, ConfigError, IndexCreationError, NormalizerError, SearchError, ShapeError
+from vicinal.functions.comparators import compensated_sum, dense_l2, dense_ruzicka
 from vicinal.functions.metadata import matches, matching_if_under, normal_metadata
 from vicinal.functions.normalizers import normalizer
 from vicinal.functions.records import postings, shape, with_uni
 from vicinal.operators import hybrid, inverted, popularity, scan, signatures
-from vicinal.plans.engine import SimilarityIndex, batch_search, post_filter_pool, resolved_strategy, wanted_values
+from vicinal.plans.engine import SimilarityIndex, batch_search, post_filter_pool, resolved_strategy, validated, wanted_values
 from vicinal.sources.mutations import SCHEMA, visible
 from vicinal.sources.segments import SegmentStore
 from vicinal.streaming.ingest import apply_batch, ingest
@@ -150,7 +150,7 @@ def test_popularity(spark):
     assert inverted.search(q, rows, fraction=0.5).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["minhash", "icws", "i2cws", "scws"])
+@pytest.mark.parametrize("kind", ["minhash", "icws", "i2cws", "scws", "pcws"])
 def test_signature_collisions(spark, kind):
     def one(terms):
         return spark.createDataFrame([(0, t, v) for t, v in terms.items()], "row_num bigint, term string, value float")
@@ -229,3 +229,114 @@ def test_log_and_streaming_agree(spark, tmp_path):
     streamed = SegmentStore(spark, f"file://{tmp_path}/streamed")
     ingest(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/log"), streamed, config, f"{tmp_path}/checkpoint").awaitTermination()
     assert {(r.row_num, r["values"][0]) for r in streamed.visible().collect()} == expected
+
+
+def _records(spark, rows):
+    return spark.createDataFrame([(i, list(m), [float(v) for v in m.values()], {}) for i, m in rows], RECORDS)
+
+
+@pytest.mark.parametrize("name, norm", [("jaccard", "identity"), ("ruzicka", "lp"), ("l2", "reciprocal")])
+def test_generic_scan_of_sparse_records(spark, name, norm, monkeypatch):
+    monkeypatch.setattr(scan, "PAIRS", 50)
+    rng = random.Random(99)
+    rows, queries = [*_random_records(rng, 40), (900, {"only": 1.0}), (901, {"a": 0.0})], [*_random_records(rng, 6), (77, {"x": 1.0, "y": 2.0}), (78, {"b": 0.0})]
+    config = NamespaceConfig(comparator=name, normalizer=norm)
+    got = {}
+    for r in batch_search(_records(spark, rows), _records(spark, queries).withColumnRenamed("row_num", "qid"), config, 7).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.row_num, r.similarity))
+    for i, a in queries:
+        plain = sorted(((-(1 - s / 2 if norm == "lp" else s), j) for j, b in rows for s in [_plain(name, a, b)]))[:7]
+        mine = sorted(got[i])
+        assert all(abs(-p[0] - m[2]) < 1e-6 for p, m in zip(plain, mine, strict=True))
+        assert [m[0] for m in mine] == list(range(1, 8))
+    best = batch_search(_records(spark, [(1, {"a": 1, "b": 1}), (2, {"x": 1})]), _records(spark, [(0, {"a": 1, "b": 1, "c": 1})]).withColumnRenamed("row_num", "qid"), NamespaceConfig(comparator="jaccard", normalizer="identity"), 5)
+    assert [(r.row_num, round(r.similarity, 5)) for r in best.orderBy("rank").collect()] == [(1, 0.66667), (2, 0.0)]
+
+
+def test_mixed_shapes_are_told(spark):
+    dense = spark.createDataFrame([(1, [], [1.0, 2.0], {})], RECORDS)
+    sparse = _records(spark, [(2, {"a": 1})])
+    for rows, queries in ((dense, sparse), (sparse, dense)):
+        with pytest.raises(PySparkException):
+            batch_search(rows, queries.withColumnRenamed("row_num", "qid"), NamespaceConfig(), 3).collect()
+    assert batch_search(dense.unionByName(spark.createDataFrame([(3, ["t"], [], {})], RECORDS)), dense.withColumnRenamed("row_num", "qid"), NamespaceConfig(), 3).count() == 1
+
+
+def test_indexes_take_only_records_that_fit(spark):
+    dense, sparse = spark.createDataFrame([(1, [], [1.0, 2.0], {}), (2, [], [1.0], {})], RECORDS), _records(spark, [(3, {"a": float("nan")})])
+    for rows, index, told in ((dense, "dense", "dimension"), (dense, "inverted", "not dense"), (sparse, "inverted", "finite"), (sparse, "dense", "not sparse")):
+        with pytest.raises(IndexCreationError, match=told):
+            validated(rows, NamespaceConfig(index=index))
+    assert validated(dense, NamespaceConfig()) is dense
+
+
+def test_normalizer_of_signature_and_hybrid_search(spark):
+    rows = _records(spark, [(1, {"a": 1, "b": 1}), (2, {"a": 1, "b": 1, "c": 1})])
+    q = _records(spark, [(0, {"a": 1, "b": 1, "c": 1})]).withColumnRenamed("row_num", "qid")
+    for index in ("inverted", "signature", "sparse"):
+        config = NamespaceConfig(comparator="jaccard", normalizer="lp", index=index, params={"signature_generator_type": "minhash"})
+        assert [(r.row_num, round(r.similarity, 4)) for r in batch_search(rows, q, config, 5).orderBy("rank").collect()] == [(1, 0.6667), (2, 0.5)]
+
+
+def test_routing_by_the_number_of_terms(spark):
+    q = spark.createDataFrame([(i, str(t), 1.0) for i, n in ((1, 100), (2, 250), (3, 300)) for t in range(n)], "qid bigint, term string, value float")
+    left = lambda *a: {r.qid for r in hybrid.routed(q, "jaccard", *a).select("qid").distinct().collect()}
+    assert left(0.9, 0, 270) == {1, 2, 3} and left(0.95, 0, 270) == {1, 2} and left(0.9, 271, hybrid.MOST_TERMS) == {2, 3} and left(1.5, 0, 270) == set()
+
+
+def test_batches_that_fail_anywhere_can_be_applied_again(spark, tmp_path, monkeypatch):
+    rows = [(1, "I", 5), (2, "I", 6), (3, "U", 5), (4, "D", 6), (5, "I", 7), (6, "I", 6)]
+    log = spark.createDataFrame([(s, o, r, [], [float(s)], {}) for s, o, r in rows], SCHEMA)
+    expected = {(5, 3.0), (7, 5.0)}
+
+    class Stop(Exception):
+        pass
+
+    real = {name: getattr(SegmentStore, name) for name in ("write", "publish", "compact")}
+    for name in real:
+        for nth in range(3):
+            calls = []
+
+            def failing(self, *a, name=name, nth=nth, calls=calls, **k):
+                calls.append(1)
+                if len(calls) == nth + 1:
+                    raise Stop
+                return real[name](self, *a, **k)
+
+            store = SegmentStore(spark, f"file://{tmp_path}/{name}{nth}")
+            with monkeypatch.context() as m:
+                m.setattr(SegmentStore, name, failing)
+                for number, part in enumerate((log.where("seq <= 2"), log.where("seq > 2"))):
+                    for _ in range(3):
+                        try:
+                            apply_batch(store, NamespaceConfig(), part, number)
+                            break
+                        except Stop:
+                            pass
+            assert {(r.row_num, r["values"][0]) for r in store.visible().collect()} == expected, (name, nth)
+
+
+def test_state_of_an_index(spark, tmp_path):
+    index = SimilarityIndex(spark, NamespaceConfig(max_cache_size=3), f"file://{tmp_path}/state")
+    index.insert_with_row_num(4, [1.0])
+    with pytest.raises(CacheError):
+        index.insert_with_row_num(4, [1.0])
+    with pytest.raises(CacheError):
+        index.insert_all(spark.createDataFrame([(4, [], [1.0], {})], RECORDS))
+    with pytest.raises(ShapeError):
+        index.insert([float("nan")])
+    assert index.insert([2.0]) == 5 and not index.is_ready_for_graduation()
+    index.close()
+    with pytest.raises(CacheError):
+        index.size()
+    again = SimilarityIndex(spark, NamespaceConfig(max_cache_size=3), f"file://{tmp_path}/state")
+    assert again.delete(4) and not again.delete(4) and again.size() == 1 and again.update(5, [9.0])
+    versions = len(again.store._versions())
+    again.close()
+    assert len(again.store._versions()) == versions + 1  # tombstones and segment together
+
+
+def test_compensated_sum(spark):
+    values = [1e17, 0.1, 0.2, -1e17, 1e-9] * 5
+    got = spark.createDataFrame([(values,)], "v array<double>").select(compensated_sum(F.col("v"))).first()[0]
+    assert abs(got - math.fsum(values)) < 1e-9

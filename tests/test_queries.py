@@ -10,7 +10,7 @@ import pytest
 from vicinal.plans import queries as engine
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ("dense_l2_knn", "dense_knn_postfilter", "sparse_ruzicka_range", "sparse_l2_knn", "popular_terms_confidence", "hybrid_knn", "lsm_visible_rows")
+CHECKED = ("dense_l2_knn", "dense_knn_postfilter", "sparse_ruzicka_range", "sparse_l2_knn", "popular_terms_confidence", "hybrid_range", "lsm_visible_rows")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

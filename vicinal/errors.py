@@ -21,13 +21,17 @@ class NormalizerError(VicinalError, ValueError):
     """A normalizer is unknown."""
 
 
-class IndexError_(VicinalError, ValueError):
-    """An index cannot be built or is unknown."""
+class IndexCreationError(VicinalError, ValueError):
+    """An index cannot be built of these records."""
 
 
 class CacheError(VicinalError, ValueError):
-    """A cache cannot be built or is unknown."""
+    """A mutation does not fit the state of its index."""
 
 
 class SearchError(VicinalError, ValueError):
     """A search argument or a similarity is out of its range."""
+
+
+class StoreError(VicinalError, RuntimeError):
+    """A segment store was changed by another writer meanwhile."""

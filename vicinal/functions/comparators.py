@@ -24,6 +24,18 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def compensated_sum(values: Column) -> Column:
+    """The sum of an array of doubles, with the rounding error of every addition carried along (Neumaier)."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+    def add(acc: Column, x: Column) -> Column:
+        t = acc["s"] + x
+        lost = F.when(F.abs(acc["s"]) >= F.abs(x), (acc["s"] - t) + x).otherwise((x - t) + acc["s"])
+        return F.struct(t.alias("s"), (acc["c"] + lost).alias("c"))
+
+    return F.aggregate(values, zero, add, lambda acc: acc["s"] + acc["c"])
+
+
 def dense_l2(a: Column, b: Column) -> Column:
     """Distance: differences in float, squares and sums in double."""
     diff = F.zip_with(a, b, lambda x, y: (x.cast("float") - y.cast("float")).cast("double"))

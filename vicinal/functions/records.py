@@ -1,16 +1,25 @@
 """Records and their canonical form.
 
 A record has parallel arrays of terms (strings) and values (floats): dense without terms, sparse with both, a sequence with terms
-alone, which is stored but never searched. The canonical form of sparse records is a table of postings.
+alone, which is stored but never searched. The canonical form of a sparse record has its different terms in order, and its
+postings are a row for each of them. A record is one row, so neither needs a shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ShapeError
 from .comparators import comparator
 
+#: Unilateral values that canonical records carry, by comparator.
+UNI = {name: f"uni_{name}" for name in ("l2", "jaccard", "ruzicka")}
+_BLANKS = "".join(map(chr, range(33)))
+
 
 def normal_term(term: Column) -> Column:
     """Lower case, without leading and trailing characters up to U+0020."""
@@ -23,19 +32,76 @@ def shape(terms: Column, values: Column) -> Column:
     return F.when(t & v, "sparse").when(v, "dense").when(t, "sequence").otherwise("empty")
 
 
-def postings(records: DataFrame, id_col: str = "row_num") -> DataFrame:
-    """id, term, value (float) of sparse records: duplicate terms are summed up in double, terms whose sum is zero go unless all are.
-
-    A record whose arrays differ in length raises an error; null terms or values are left out; records without terms or
-    without values have no postings.
+def _lengths(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(column.value_lengths(), 0)).astype(np.int64)
+
+
+def _canonical(ids: pa.Array, terms: pa.Array, values: pa.Array) -> pa.RecordBatch:
+    n_terms, n_values = _lengths(terms), _lengths(values)
+    if ((n_terms != n_values) & (n_terms > 0) & (n_values > 0)).any():
+        raise ShapeError("terms and values differ in length")
+    both = n_terms == n_values
+    row = np.repeat(np.arange(len(ids)), n_terms)[np.repeat(both, n_terms)]
+    term = terms.filter(pa.array(both)).flatten()
+    value = values.filter(pa.array(both)).flatten()
+    known = np.asarray(pc.and_(pc.is_valid(term), pc.is_valid(value)))
+    row, value = row[known], np.asarray(value.filter(pa.array(known))).astype(np.float64)
+    coded = pc.dictionary_encode(pc.utf8_trim(pc.utf8_lower(term.filter(pa.array(known)).cast(pa.string())), characters=_BLANKS))
+    order = np.asarray(pc.sort_indices(coded.dictionary))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    size = max(1, len(order))
+    key, place = np.unique(row * size + rank[np.asarray(coded.indices)], return_inverse=True)
+    total = np.bincount(place, weights=value, minlength=len(key))
+    row = key // size
+    alive = np.bincount(row, weights=total != 0, minlength=len(ids)) > 0
+    kept = (total != 0) | ~alive[row]
+    row, key, total = row[kept], key[kept], total[kept].astype(np.float32)
+    wide = total.astype(np.float64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))]), pa.int32())
+    n = np.diff(np.asarray(offsets))
+    uni = {"l2": wide * wide, "jaccard": np.abs(np.sign(wide)), "ruzicka": np.abs(wide)}
+    found = pa.RecordBatch.from_arrays(
+        [
+            ids, pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(order[key % size]))), pa.ListArray.from_arrays(offsets, pa.array(total)), pa.array(n.astype(np.int32)),
+            *(pa.array(np.bincount(row, weights=uni[name], minlength=len(ids))) for name in UNI),
+        ],
+        ["id", "terms", "values", "n_terms", *UNI.values()],
+    )
+    return found.filter(pa.array(n > 0))
+
+
+def canonical(records: DataFrame, id_col: str = "row_num") -> DataFrame:
+    """id, terms (different, in order), values (float), n_terms and the unilateral values of sparse records.
+
+    Duplicate terms are summed up in double; terms whose sum is zero go unless all are. A record whose arrays differ in length
+    raises an error; null terms or values are left out; records without terms or without values are left out. An id names one row.
     """
-    bad = F.raise_error(F.lit("terms and values differ in length")).cast("array<struct<terms:string,values:float>>")
-    pairs = F.when(F.size("terms") == F.size("values"), F.arrays_zip("terms", "values")).when((F.size("terms") > 0) & (F.size("values") > 0), bad)
-    rows = records.select(id_col, F.explode(pairs).alias("p")).where(F.col("p.terms").isNotNull() & F.col("p.values").isNotNull())
-    summed = rows.groupBy(id_col, normal_term(F.col("p.terms")).alias("term")).agg(F.sum(F.col("p.values").cast("double")).alias("total"))
-    some = F.max((F.col("total") != 0).cast("int")).over(Window.partitionBy(id_col))
-    kept = summed.withColumn("some", some).where((F.col("total") != 0) | (F.col("some") == 0))
-    return kept.select(id_col, "term", F.col("total").cast("float").alias("value"))
+
+    def run(batches):
+        for b in batches:
+            yield _canonical(*b.columns)
+
+    kind = records.schema[id_col].dataType.simpleString()
+    rows = records.select(id_col, F.col("terms").cast("array<string>"), F.col("values").cast("array<float>"))
+    schema = f"id {kind}, terms array<string>, values array<float>, n_terms int, " + ", ".join(f"{u} double" for u in UNI.values())
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def exploded(rows: DataFrame, id_col: str = "row_num") -> DataFrame:
+    """Postings of canonical records: id, term, value (float), and their record's n_terms and unilateral values."""
+    pair = F.explode(F.arrays_zip("terms", "values")).alias("p")
+    return rows.select(id_col, pair, "n_terms", *UNI.values()).select(id_col, F.col("p.terms").alias("term"), F.col("p.values").alias("value"), "n_terms", *UNI.values())
+
+
+def full_postings(records: DataFrame, id_col: str = "row_num") -> DataFrame:
+    """Postings of sparse records with what they carry of their record; see canonical and exploded."""
+    return exploded(canonical(records, id_col), id_col)
+
+
+def postings(records: DataFrame, id_col: str = "row_num") -> DataFrame:
+    """id, term, value of sparse records; see canonical."""
+    return bare(full_postings(records, id_col), id_col)
 
 
 def uni_values(rows: DataFrame, comparator_name: str, id_col: str = "row_num") -> DataFrame:
@@ -44,10 +110,20 @@ def uni_values(rows: DataFrame, comparator_name: str, id_col: str = "row_num") -
 
 
 def with_uni(rows: DataFrame, comparator_name: str, id_col: str = "row_num") -> DataFrame:
-    """Postings with their record's unilateral value. The window reuses the partitioning by id of the canonical form."""
-    uni = comparator(comparator_name).uni(F.col("value"))
-    return rows.withColumn("uni", F.sum(uni).over(Window.partitionBy(id_col)))
+    """Postings with their record's unilateral value: that which they carry, or the sum over their terms."""
+    c = comparator(comparator_name)
+    if UNI[c.name] in rows.columns:
+        return rows.withColumn("uni", F.col(UNI[c.name]))
+    return rows.withColumn("uni", F.sum(c.uni(F.col("value"))).over(Window.partitionBy(id_col)))
+
+
+def with_n_terms(rows: DataFrame, id_col: str = "row_num") -> DataFrame:
+    """Postings with their record's number of terms."""
+    if "n_terms" in rows.columns:
+        return rows
+    return rows.withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy(id_col)).cast("int"))
 
 
-def dense_uni(values: Column, comparator_name: str) -> Column:
-    return F.aggregate(F.transform(values, comparator(comparator_name).uni), F.lit(0.0), lambda acc, x: acc + x)
+def bare(rows: DataFrame, id_col: str = "row_num") -> DataFrame:
+    """Postings without what they carry of their record, which no longer holds once some of them are left out."""
+    return rows.select(id_col, "term", "value")

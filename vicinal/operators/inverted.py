@@ -15,6 +15,9 @@ from ..functions.records import with_uni
 from .popularity import document_frequencies, popular_terms, without
 from .topk import float_threshold, ranked, small
 
+#: Overlap from which on a range search takes candidates from the prefix first.
+LEAST_BOUND = 0.5
+
 
 def scored(q: DataFrame, r: DataFrame, comparator_name: str, normalizer: str, bound: float | None = None) -> DataFrame:
     """qid, row_num, similarity of all pairs that share a term. q: qid, term, value, uni. r: row_num, term, value, uni."""
@@ -77,8 +80,9 @@ def search(
     q, r = with_uni(q, comparator_name, "qid"), with_uni(r, comparator_name, "row_num")
     least = float_threshold(min_similarity)
     q = small(q)
-    if least > 0 and use_prefix:
-        bound = normalizer_of(normalizer).to_value(least)
+    bound = normalizer_of(normalizer).to_value(least) if least > 0 else 0.0
+    # Under a low threshold of an overlap the prefix is most of a query, and finding candidates first costs more than scoring all.
+    if least > 0 and use_prefix and (bound >= LEAST_BOUND or comparator_name.strip().lower() == "l2"):
         hits = rescored(candidates(q, r, comparator_name, bound), q, r, comparator_name, normalizer)
     else:
         hits = scored(q, r, comparator_name, normalizer)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EPSILON
+from ..functions.records import bare
 
 
 def z_value(confidence: float) -> float:
@@ -49,5 +50,6 @@ def popular_terms(rows: DataFrame, n_rows: int, fraction: float, confidence: flo
 
 
 def without(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings without these terms. Unilateral values must be made anew afterwards."""
-    return rows.join(terms.select("term"), "term", "left_anti")
+    """Postings without these terms. What they carry of their whole record goes too."""
+    id_col = next(c for c in rows.columns if c in ("qid", "row_num"))
+    return bare(rows, id_col).join(terms.select("term"), "term", "left_anti")

@@ -1,22 +1,29 @@
-"""Exhaustive search of dense records: every query against every row, block by block.
+"""Exhaustive search: every query against every row, block by block.
 
-Queries are taken in sets of QUERY_SET, which bounds what is sent to the tasks. A task scores an Arrow batch of rows at a time: for l2 a matrix
-product finds all pairs that may be among the best, and only those are scored again exactly (float differences, double
-sums); a batch gives at most k hits a query, so what is shuffled does not depend on the number of dimensions.
+Queries are taken in sets of QUERY_SET, which bounds what is sent to the tasks. A task scores some thousand rows at a time and keeps each query's
+k best rows so far; the k-th of them is the threshold that later rows must reach, and only the best rows of a task are shuffled.
+
+Dense rows under l2: one matrix product for all queries finds the pairs that may be among the best, and only those are scored again exactly
+(float differences, double sums). Sparse rows: the postings of a batch meet the queries' postings by term, sums over shared terms and unilateral
+values give every similarity, that of rows without a shared term too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SearchError, ShapeError
+from ..functions.records import UNI, _canonical, canonical, shape
 from .topk import float_threshold, ranked
 
 QUERY_SET = 2048
 ROWS = 4096
+#: Pairs of query and row, and of their postings, that are scored at once.
+PAIRS = 1 << 22
 _HITS = "qid bigint, row_num bigint, similarity float"
 
 
@@ -54,26 +61,119 @@ def _overlap(name: str, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.where(union == 0, 1.0, inter / np.where(union == 0, 1, union))
 
 
-def _score(q_ids, q, ids, rows, name, normalizer, k, least):
-    """Up to k hits of each query among these rows."""
-    wide = rows.astype(np.float64)
-    norms = (wide**2).sum(axis=1)
+class _Best:
+    """Each query's k best rows so far: similarity descending, then row number."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.kth = k, np.full(n, -np.inf)
+        self.sims, self.ids = [np.zeros(0, np.float32)] * n, [np.zeros(0, np.int64)] * n
+
+    def add(self, i: int, ids: np.ndarray, sim: np.ndarray) -> None:
+        """Rows of query i that reach its threshold."""
+        s, d = np.concatenate([self.sims[i], sim.astype(np.float32)]), np.concatenate([self.ids[i], ids])
+        if len(s) > self.k:
+            pick = np.lexsort((d, -s))[: self.k]
+            s, d = s[pick], d[pick]
+        self.sims[i], self.ids[i] = s, d
+        if len(s) == self.k:
+            self.kth[i] = s.min(initial=np.inf)
+
+    def hits(self, q_ids: np.ndarray):
+        n = [len(x) for x in self.ids]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.sims))], ["qid", "row_num", "similarity"])
+
+
+def _score(best: _Best, q, ids, rows, name, normalizer, least) -> None:
+    """Add the hits of each query among these rows."""
+    wide, near = rows.astype(np.float64), None
+    if name == "l2":
+        norms = (wide**2).sum(axis=1)
+        q_wide = q.astype(np.float64)
+        near, q_norms = norms - 2 * q_wide @ wide.T, (q_wide**2).sum(axis=1)
     for i, one in enumerate(q):
+        at = np.arange(len(ids))
         if name == "l2":
-            near = norms - 2 * wide @ one.astype(np.float64)
-            at = np.arange(len(ids))
-            if len(ids) > k:
-                kth = np.partition(near, k - 1)[k - 1]
-                at = np.flatnonzero(near <= kth + 1e-6 * (1 + np.abs(kth) + float(one.astype(np.float64) @ one)))
+            if len(ids) > best.k:
+                kth = np.partition(near[i], best.k - 1)[best.k - 1]
+                at = np.flatnonzero(near[i] <= kth + 1e-6 * (1 + np.abs(kth) + q_norms[i]))
             sim = _similarity(normalizer, _distance(one, rows[at]))
         else:
-            at = np.arange(len(ids))
             sim = _similarity(normalizer, _overlap(name, one, rows))
         with np.errstate(invalid="ignore"):
-            ok = sim >= least
-        at, sim = at[ok], sim[ok].astype(np.float32)
-        best = np.lexsort((ids[at], -sim))[:k]
-        yield q_ids[i], ids[at[best]], sim[best]
+            ok = (sim >= least) & (sim.astype(np.float32) >= best.kth[i])
+        if ok.any():
+            best.add(i, ids[at[ok]], sim[ok])
+
+
+class _Queries:
+    """Sparse queries by term: the vocabulary, and for each of its terms the queries that have it and their values."""
+
+    def __init__(self, batch: pa.RecordBatch, name: str):
+        self.ids = np.asarray(batch.column(0))
+        flat = batch.column(1).flatten()
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(1).value_lengths()))
+        coded = pc.dictionary_encode(flat)
+        self.terms, code = coded.dictionary, np.asarray(coded.indices)
+        order = np.argsort(code, kind="stable")
+        self.row, self.value = row[order], np.asarray(batch.column(2).flatten())[order]
+        self.first = np.searchsorted(code[order], np.arange(len(self.terms) + 1))
+        self.uni = np.asarray(batch.column(UNI[name]))
+
+
+def _shared(name: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """What a shared term adds: to the intersection, or to the squared distance beyond both unilateral values."""
+    a, b = q.astype(np.float64), r.astype(np.float64)
+    if name == "l2":
+        d = (q - r).astype(np.float64)
+        return d * d - a * a - b * b
+    return np.where(np.sign(a) == np.sign(b), np.minimum(np.abs(a), np.abs(b)) if name == "ruzicka" else np.abs(np.sign(a)), 0.0)
+
+
+def _score_sparse(best: _Best, q: _Queries, rows: pa.RecordBatch, name: str, normalizer: str, least: float) -> None:
+    """Add the hits of each query among these canonical rows."""
+    ids, uni, n_q = np.asarray(rows.column(0)), np.asarray(rows.column(UNI[name])), len(q.ids)
+    flat = rows.column(1).flatten()
+    row = np.repeat(np.arange(rows.num_rows), np.asarray(rows.column(1).value_lengths()))
+    code = np.asarray(pc.fill_null(pc.index_in(flat, value_set=q.terms), -1))
+    at = np.flatnonzero(code >= 0)
+    row, code, value = row[at], code[at], np.asarray(rows.column(2).flatten())[at]
+    n = q.first[code + 1] - q.first[code]
+    # As many rows at a time as keep both the pairs and the pairs of postings bounded.
+    before = np.concatenate([[0], np.cumsum(np.bincount(row, weights=n, minlength=rows.num_rows))])
+    a = 0
+    while a < rows.num_rows:
+        z = min(max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, side="right")) - 1), a + max(1, PAIRS // n_q), rows.num_rows)
+        some = slice(*np.searchsorted(row, [a, z]))
+        times = n[some]
+        listed = np.repeat(q.first[code[some]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        spot = q.row[listed] * (z - a) + np.repeat(row[some], times) - a
+        x = np.bincount(spot, weights=_shared(name, q.value[listed], np.repeat(value[some], times)), minlength=n_q * (z - a)).reshape(n_q, -1)
+        both = q.uni[:, None] + uni[a:z]
+        if name == "l2":
+            got = np.sqrt(np.maximum(both + x, 0))
+        else:
+            union = both - x
+            got = np.where(union == 0, 1.0, x / np.where(union == 0, 1, union))
+        sim = _similarity(normalizer, got)
+        ok = (sim >= least) & (sim.astype(np.float32) >= best.kth[:, None])
+        for i in np.flatnonzero(ok.any(axis=1)).tolist():
+            best.add(i, ids[a:z][ok[i]], sim[i, ok[i]])
+        a = z
+
+
+def _query_sets(queries: DataFrame):
+    """The queries in sets of about QUERY_SET rows at most."""
+    n_sets = max(1, -(-queries.count() // QUERY_SET))
+    for one in range(n_sets):
+        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_sets)) == one)
+
+
+def _union(parts: list[DataFrame], k: int) -> DataFrame:
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return ranked(out, k)
 
 
 def dense_search(records: DataFrame, queries: DataFrame, comparator: str = "l2", normalizer: str = "reciprocal", k: int = 10, min_similarity: float = 0.0) -> DataFrame:
@@ -83,11 +183,10 @@ def dense_search(records: DataFrame, queries: DataFrame, comparator: str = "l2",
     """
     spark = records.sparkSession
     least = float_threshold(min_similarity)
-    n_sets = max(1, -(-queries.count() // QUERY_SET))
     rows = records.select(F.col("row_num").cast("bigint").alias("row_num"), F.col("values").cast("array<float>").alias("values"))
-    hits = None
-    for one in range(n_sets):
-        mine = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_sets)) == one).select("qid", "values").orderBy("qid").collect()
+    found = []
+    for some in _query_sets(queries):
+        mine = some.select("qid", "values").orderBy("qid").collect()
         q_ids = np.array([r["qid"] for r in mine], dtype=np.int64)
         if len({len(r["values"] or []) for r in mine}) > 1:
             raise ShapeError("queries of different dimension")
@@ -96,16 +195,60 @@ def dense_search(records: DataFrame, queries: DataFrame, comparator: str = "l2",
 
         def run(batches, shared=shared):
             q_ids, q = shared.value
+            best = _Best(len(q), k)
             for b in batches:
                 for start in range(0, b.num_rows, ROWS):
                     part = b.slice(start, ROWS)
                     ids, m = np.asarray(part.column(0)), _matrix(part.column(1))
                     if len(q) and q.shape[1] != m.shape[1]:
                         raise ShapeError("a query's dimension differs from the records'")
-                    out = [(np.full(len(i), x), i, s) for x, i, s in _score(q_ids, q, ids, m, comparator, normalizer, k, least)]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["qid", "row_num", "similarity"])
+                    _score(best, q, ids, m, comparator, normalizer, least)
+            yield from best.hits(q_ids)
 
-        found = rows.mapInArrow(run, _HITS)
-        hits = found if hits is None else hits.unionByName(found)
-    return ranked(hits, k)
+        found.append(rows.mapInArrow(run, _HITS))
+    return _union(found, k)
+
+
+def sparse_search(records: DataFrame, queries: DataFrame, comparator: str = "jaccard", normalizer: str = "identity", k: int = 10, min_similarity: float = 0.0) -> DataFrame:
+    """qid, row_num, similarity, rank of sparse records (row_num, terms, values) for sparse queries (qid, terms, values).
+
+    Rows that share no term with a query take part as well. A dense record raises an error; sequences and empty records are no rows.
+    """
+    spark = records.sparkSession
+    least = float_threshold(min_similarity)
+    rows = records.select(F.col("row_num").cast("bigint").alias("row_num"), F.col("terms").cast("array<string>"), F.col("values").cast("array<float>"))
+    found = []
+    for some in _query_sets(queries):
+        mine = canonical(some, "qid").orderBy("qid").toArrow().combine_chunks().to_batches()
+        if not mine:
+            found.append(spark.createDataFrame([], _HITS))
+            continue
+        shared = spark.sparkContext.broadcast(_Queries(mine[0], comparator))
+
+        def run(batches, shared=shared):
+            q = shared.value
+            best = _Best(len(q.ids), k)
+            for b in batches:
+                for start in range(0, b.num_rows, ROWS):
+                    part = b.slice(start, ROWS)
+                    n_terms, n_values = (np.asarray(pc.fill_null(part.column(i).value_lengths(), 0)) for i in (1, 2))
+                    if ((n_terms == 0) & (n_values > 0)).any():
+                        raise ShapeError("a sparse query meets a dense record")
+                    _score_sparse(best, q, _canonical(*part.columns), comparator, normalizer, least)
+            yield from best.hits(q.ids)
+
+        found.append(rows.mapInArrow(run, _HITS))
+    return _union(found, k)
+
+
+def generic_search(records: DataFrame, queries: DataFrame, comparator: str, normalizer: str, k: int = 10, min_similarity: float = 0.0) -> DataFrame:
+    """dense_search for the dense queries and sparse_search for the sparse ones, over all records of any shape."""
+    kind = shape(F.col("terms"), F.col("values"))
+    known = [r[0] for r in queries.select(kind.alias("kind")).distinct().collect()]
+    hits = []
+    if "dense" in known:
+        mixed = F.when(kind == "sparse", F.raise_error(F.lit("a dense query meets a sparse record")).cast("array<float>")).otherwise(F.col("values"))
+        hits.append(dense_search(records.where(kind.isin("dense", "sparse")).withColumn("values", mixed), queries.where(kind == "dense"), comparator, normalizer, k, min_similarity).drop("rank"))
+    if "sparse" in known:
+        hits.append(sparse_search(records, queries.where(kind == "sparse"), comparator, normalizer, k, min_similarity).drop("rank"))
+    return _union(hits or [records.sparkSession.createDataFrame([], _HITS)], k)

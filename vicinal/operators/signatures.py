@@ -17,12 +17,12 @@ from ..errors import ComparatorError
 from ..functions.comparators import comparator
 from ..functions.normalizers import normalizer as normalizer_of
 from ..functions.records import with_uni
-from .inverted import prefix, rescored
+from .inverted import filtered, prefix, rescored
 from .popularity import document_frequencies
 from .topk import float_threshold, ranked
 
 _P = 2**31 - 1
-#: What is taken from a threshold before the prefix of a signature is cut.
+#: What is taken from a threshold before the prefix of a signature is cut.
 MARGINS = {"minhash": 0.1, "icws": 0.1, "i2cws": 0.1, "scws": 0.1, "pcws": 0.15}
 
 
@@ -138,19 +138,28 @@ def keys(rows: DataFrame, kind: str, n: int = SIGNATURES, id_col: str = "row_num
     if kind == "minhash":
         got = minhash(rows, n, id_col).select(id_col, F.concat_ws("|", "term", "sign").alias("term"))
     else:
-        level = "t" if kind in ("icws", "i2cws", "pcws") else F.lit(0)
-        got = weighted(rows, kind, n, id_col).select(id_col, F.concat_ws("|", "term", "sign", F.col("t") if level == "t" else level).alias("term"))
+        level = F.col("t") if kind in ("icws", "i2cws", "pcws") else F.lit(0)
+        got = weighted(rows, kind, n, id_col).select(id_col, F.concat_ws("|", "term", "sign", level).alias("term"))
     return got.distinct().withColumn("value", F.lit(1.0).cast("float"))
 
 
-def search(q: DataFrame, r: DataFrame, comparator_name: str, kind: str, k: int = 10, min_similarity: float = 0.0, n: int = SIGNATURES) -> DataFrame:
-    """qid, row_num, similarity, rank: candidates share a key, similarities are exact. q, r: postings."""
+def search(
+    q: DataFrame, r: DataFrame, comparator_name: str, kind: str, k: int = 10, min_similarity: float = 0.0, n: int = SIGNATURES, normalizer: str = "identity",
+    fraction: float = 1.0, confidence: float | None = None,
+) -> DataFrame:
+    """qid, row_num, similarity, rank: candidates share a key, similarities are exact. q, r: postings.
+
+    Popular terms of the rows are left out of both sides first. A threshold becomes a value of the comparator, which bounds the prefix.
+    """
+    if fraction < 1:
+        q, r = filtered(q, r, r.select("row_num").distinct().count(), fraction, confidence)
     least = float_threshold(min_similarity)
     q_keys, r_keys = with_uni(keys(q, kind, n, "qid"), "jaccard", "qid"), keys(r, kind, n)
     if least > 0:
-        q_keys = prefix(q_keys, document_frequencies(r_keys), "jaccard", max(0.0, least - MARGINS[kind]))
+        bound = normalizer_of(normalizer).to_value(least)
+        q_keys = prefix(q_keys, document_frequencies(r_keys), "jaccard", max(0.0, bound - MARGINS[kind.strip().lower()]))
     pairs = q_keys.select("qid", "term").join(r_keys.select("row_num", "term"), "term").select("qid", "row_num").distinct()
-    hits = rescored(pairs, with_uni(q, comparator_name, "qid"), with_uni(r, comparator_name), comparator_name, "identity")
+    hits = rescored(pairs, with_uni(q, comparator_name, "qid"), with_uni(r, comparator_name), comparator_name, normalizer)
     return ranked(hits.where(F.col("similarity") >= least), k)
 
 

@@ -5,18 +5,23 @@ Searches take as queries every row whose id is divisible by 100, against all row
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NamespaceConfig
-from ..functions.comparators import dense_jaccard, dense_l2, dense_ruzicka, length_filter
+from ..functions.comparators import compensated_sum, dense_jaccard, dense_l2, dense_ruzicka, length_filter
 from ..functions.metadata import dictionary, matches, normal_metadata
 from ..functions.normalizers import normalizer
-from ..functions.records import postings, with_uni
+from ..functions.records import canonical, full_postings, postings, shape, with_uni
 from ..operators import hybrid, inverted, popularity, scan, signatures
 from ..operators.topk import ranked, union
 from ..sources.mutations import effective, visible
-from .engine import batch_search
+from ..sources.segments import SegmentStore
+from ..sources.tables import shared_dir, written
+from ..streaming.ingest import apply_batch
+from .engine import SimilarityIndex, batch_search
 
 EVERY, K = 100, 10
 MINHASHES = 16
@@ -26,6 +31,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it lies in fewer files than that; a table of many files stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _rounded(hits: DataFrame) -> DataFrame:
     return hits.select("qid", "row_num", F.round(F.col("similarity").cast("double"), 5).alias("similarity"), "rank")
 
@@ -42,7 +53,7 @@ def documents(spark: SparkSession, sf_dir: str, signed: bool = False) -> DataFra
     one = F.lit(1.0).cast("float")
     weight = (lambda t: F.when((F.length(t) + F.col("doc_id")) % 5 == 0, -one).otherwise(one)) if signed else (lambda t: one)
     meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_num"), terms.alias("terms"), F.transform(terms, weight).alias("values"), meta.alias("metadata"))
+    return _dealt(_read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("row_num"), terms.alias("terms"), F.transform(terms, weight).alias("values"), meta.alias("metadata"))
 
 
 def _queries_of(records: DataFrame) -> DataFrame:
@@ -67,8 +78,8 @@ def _dense_filtered(strategy):
 
 
 def _postings(spark, sf_dir, signed=False):
-    rows = documents(spark, sf_dir, signed)
-    p = postings(rows)
+    """Postings of the queries and of all rows, read from one table that is written now."""
+    p = written(full_postings(documents(spark, sf_dir, signed)), "postings")
     return p.where(F.col("row_num") % EVERY == 0).withColumnRenamed("row_num", "qid"), p
 
 
@@ -92,14 +103,12 @@ def pairwise_comparators(spark, sf_dir):
 
 
 def canonicalize_terms(spark, sf_dir):
-    return _postings(spark, sf_dir, True)[1].select("row_num", "term", F.col("value").cast("double").alias("value"))
+    return postings(documents(spark, sf_dir, True)).select("row_num", "term", F.col("value").cast("double").alias("value"))
 
 
 def uni_values(spark, sf_dir):
-    from ..functions.comparators import comparator
-
-    p = _postings(spark, sf_dir, True)[1]
-    return p.groupBy("row_num").agg(*(F.sum(comparator(c).uni(F.col("value"))).alias(c) for c in ("l2", "jaccard", "ruzicka")))
+    rows = canonical(documents(spark, sf_dir, True))
+    return rows.select("row_num", *(F.col(f"uni_{c}").alias(c) for c in ("l2", "jaccard", "ruzicka")))
 
 
 def sparse_zero_and_opposite_sign(spark, sf_dir):
@@ -118,13 +127,12 @@ def prefix_filter_terms(spark, sf_dir):
 
 
 def length_filter_pairs(spark, sf_dir):
-    from ..functions.records import uni_values as uni
-
-    q, r = _postings(spark, sf_dir)
-    # Lengths within a factor of two lie in neighbouring bins.
-    a = uni(q, "jaccard", "qid").withColumnRenamed("uni", "uq").withColumn("bin", F.floor(F.log2("uq")))
-    b = uni(r, "jaccard").withColumnRenamed("uni", "ur").withColumn("bin", F.explode(F.array(*(F.floor(F.log2("ur")) + i for i in (-1, 0, 1)))))
-    return a.join(b, "bin").where(length_filter("jaccard", F.col("uq"), F.col("ur"), 0.8)).groupBy("qid").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = canonical(documents(spark, sf_dir))
+    lengths = rows.groupBy(F.col("uni_jaccard").alias("ur")).agg(F.count(F.lit(1)).alias("n"))
+    # Rows of one length are one row here, and lengths within a factor of two lie in neighbouring bins.
+    a = rows.where(F.col("row_num") % EVERY == 0).select(F.col("row_num").alias("qid"), F.col("uni_jaccard").alias("uq"), F.floor(F.log2("uni_jaccard")).alias("bin"))
+    b = lengths.withColumn("bin", F.explode(F.array(*(F.floor(F.log2("ur")) + i for i in (-1, 0, 1)))))
+    return a.join(b, "bin").where(length_filter("jaccard", F.col("uq"), F.col("ur"), 0.8)).groupBy("qid").agg(F.sum("n").alias("n_rows"))
 
 
 def _popular(fraction, confidence=None):
@@ -147,11 +155,11 @@ def meta_dictionary(spark, sf_dir):
 
 
 def minhash_signatures(spark, sf_dir):
-    return signatures.minhash(_postings(spark, sf_dir)[1], MINHASHES).select("row_num", "i", "term", "sign", "h")
+    return signatures.minhash(postings(documents(spark, sf_dir)), MINHASHES).select("row_num", "i", "term", "sign", "h")
 
 
 def minhash_candidates(spark, sf_dir):
-    k = signatures.minhash(_postings(spark, sf_dir)[1], MINHASHES).select("row_num", "term", "sign").distinct()
+    k = written(signatures.minhash(postings(documents(spark, sf_dir)), MINHASHES).select("row_num", "term", "sign").distinct(), "keys")
     q = k.where(F.col("row_num") % EVERY == 0).withColumnRenamed("row_num", "qid")
     pairs = q.join(k, ["term", "sign"]).groupBy("qid", "row_num").agg(F.count(F.lit(1)).alias("n_shared"))
     return pairs
@@ -166,14 +174,140 @@ def _signature_search(comparator, kind):
 
 
 def hybrid_route_counts(spark, sf_dir):
-    return hybrid.route_counts(_postings(spark, sf_dir)[1])
+    return hybrid.route_counts(postings(documents(spark, sf_dir)))
 
 
-def hybrid_knn(spark, sf_dir):
+def hybrid_range(spark, sf_dir):
     q, r = _postings(spark, sf_dir)
     return _rounded(hybrid.search(q, r, "jaccard", "minhash", K, 0.5))
 
 
+def hybrid_reciprocal_knn(spark, sf_dir):
+    q, r = _postings(spark, sf_dir)
+    return _rounded(hybrid.search(q, r, "jaccard", "minhash", K, normalizer="reciprocal", n=MINHASHES))
+
+
+def signature_lp_range(spark, sf_dir):
+    q, r = _postings(spark, sf_dir)
+    return _rounded(signatures.search(q, r, "jaccard", "minhash", K, 0.95, MINHASHES, "lp"))
+
+
+def signature_popularity(spark, sf_dir):
+    q, r = _postings(spark, sf_dir)
+    return _rounded(signatures.search(q, r, "jaccard", "minhash", K, n=MINHASHES, fraction=0.2))
+
+
+def _weighted_recall(kind):
+    """Whether the weighted signatures of a kind find nearly all pairs of Ruzicka similarity 0.5, and no wrong similarity."""
+
+    def run(spark, sf_dir):
+        q, r = _postings(spark, sf_dir)
+        found = signatures.search(q, r, "ruzicka", kind, 1000, 0.5).select("qid", "row_num", F.round("similarity", 5).alias("found"))
+        true = inverted.search(q, r, "ruzicka", "identity", 1000, 0.5).select("qid", "row_num", F.round("similarity", 5).alias("true"))
+        both = true.join(found, ["qid", "row_num"], "full").agg(
+            F.count("true").alias("n_true"), (F.count(F.when(F.col("found") == F.col("true"), 1)) >= 0.95 * F.count("true")).alias("recall_is_high"),
+            (F.count(F.when(F.col("true").isNull() | (F.col("found") != F.col("true")), 1)) == 0).alias("none_is_wrong"),
+        )
+        return both.select(F.lit(kind).alias("kind"), "n_true", "recall_is_high", "none_is_wrong")
+
+    return run
+
+
+def _generic_sparse(comparator, norm):
+    def run(spark, sf_dir):
+        rows = documents(spark, sf_dir, True)
+        return _rounded(batch_search(rows, _queries_of(rows), NamespaceConfig(comparator=comparator, normalizer=norm), K))
+
+    return run
+
+
+def cache_knn_popularity(spark, sf_dir):
+    """A sparse cache leaves out terms whose share may be too large, by the upper bound of a confidence interval."""
+    rows = documents(spark, sf_dir)
+    config = NamespaceConfig(comparator="jaccard", normalizer="identity", cache="sparse", index="inverted", params={"max_fraction_ids_per_sparse_key": 0.2, "max_fraction_ids_per_sparse_key_confidence": 0.99})
+    return _rounded(batch_search(rows, _queries_of(rows), config, K, of_cache=True))
+
+
+def _auto_strategy(index, comparator, norm, wanted, read):
+    """What `auto` resolves to by the index and the number of matching rows."""
+
+    def run(spark, sf_dir):
+        rows = read(spark, sf_dir)
+        return _rounded(batch_search(rows, _queries_of(rows), NamespaceConfig(comparator=comparator, normalizer=norm, index=index, max_num_similarities=50), K, 0.0, wanted, exact_filter=False))
+
+    return run
+
+
+def popularity_bounds(spark, sf_dir):
+    """Both confidence bounds of each language's share of the documents."""
+    d = _read(spark, sf_dir, "documents")
+    n = d.count()
+    counts = d.groupBy("lang").agg(F.count(F.lit(1)).alias("df"))
+    bounds = {"low": popularity.lower_bound, "high": popularity.upper_bound}
+    return counts.select("lang", *(F.round(f(F.col("df"), n, 0.95), 9).alias(name) for name, f in bounds.items()))
+
+
+def filtered_query_terms(spark, sf_dir):
+    """Unilateral values of queries before and after popular terms of the rows are left out; queries without any term left are gone."""
+    q, r = _postings(spark, sf_dir)
+    kept, _ = inverted.filtered(q, r, r.select("row_num").distinct().count(), 0.05)
+    before = with_uni(q, "jaccard", "qid").groupBy("qid").agg(F.max("uni").alias("before"))
+    return before.join(with_uni(kept, "jaccard", "qid").groupBy("qid").agg(F.max("uni").alias("after")), "qid")
+
+
+def record_shapes(spark, sf_dir):
+    """How many records have each shape: documents as sparse records, one in three without values, one in seven without terms."""
+    rows = documents(spark, sf_dir).select(F.when(F.col("row_num") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("terms")).alias("t"), F.when(F.col("row_num") % 3 == 0, None).otherwise(F.col("values")).alias("v"))
+    return rows.groupBy(shape(F.col("t"), F.col("v")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def compensated_sums(spark, sf_dir):
+    """Sums of components that plain summation would lose beside a large one."""
+    large = F.concat(F.array(F.lit(1e17)), F.transform("values", lambda x: x.cast("double")), F.array(F.lit(-1e17)))
+    return vectors(spark, sf_dir).select("row_num", F.round(compensated_sum(large), 6).alias("total"))
+
+
+def facade_lifecycle(spark, sf_dir):
+    """Rows of an index after inserts as segments, single inserts, an update, deletes, rotation and merging."""
+    rows = vectors(spark, sf_dir).where(F.col("row_num") < 40)
+    index = SimilarityIndex(spark, NamespaceConfig(max_cache_size=4, max_num_searchable_structures=3), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    for i in range(3):
+        index.insert_all(rows.where(F.col("row_num") % 3 == i))
+    first = index.insert([1.0] + [0.0] * 63, metadata={"label": "new"})
+    index.update(5, [0.0, 1.0] + [0.0] * 62, metadata={"label": "new"})
+    gone = [index.delete(i) for i in (7, 8, 7, 10**9)]
+    for i in range(5):
+        index.insert([float(i), 1.0] + [0.0] * 62)
+    told = index.records().select("row_num", F.round(F.col("values")[0].cast("double"), 5).alias("first_value"))
+    index.close()
+    return told.withColumn("first_id", F.lit(first)).withColumn("gone", F.lit(",".join(map(str, gone)).lower()))
+
+
+def _store_after(spark, sf_dir, batches: int, most: int) -> SegmentStore:
+    """A store to which the mutation log was applied in batches, each twice, as after a failure."""
+    log = mutation_log(spark, sf_dir)
+    store = SegmentStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    config = NamespaceConfig(max_num_searchable_structures=most)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // batches + 1
+    for i in range(batches):
+        part = log.where(F.col("seq").between(low + i * step, low + (i + 1) * step - 1))
+        for _ in range(2):
+            apply_batch(store, config, part, i)
+    return store
+
+
+def stream_visible_rows(spark, sf_dir):
+    rows = _store_after(spark, sf_dir, 3, 10).visible()
+    return rows.select("row_num", F.round(F.col("values")[0].cast("double"), 5).alias("value"), F.try_element_at("metadata", F.lit("type")).alias("type"))
+
+
+def lsm_compaction(spark, sf_dir):
+    store = _store_after(spark, sf_dir, 4, 3)
+    held = len(store.manifest()["segments"])
+    return store.visible().select("row_num", F.round(F.col("values")[0].cast("double"), 5).alias("value")).withColumn("few_segments", F.lit(held <= 2))
+
+
 def mutation_log(spark, sf_dir):
     """Events as mutations of one record a user."""
     op = F.when(F.col("event_id") % 37 == 0, "D").when(F.col("event_id") % 3 == 0, "I").otherwise("U")
@@ -236,7 +370,26 @@ def queries() -> dict:
         "signature_minhash_range": _signature_search("jaccard", "minhash"),
         "signature_icws_range": _signature_search("ruzicka", "icws"),
         "hybrid_route_counts": hybrid_route_counts,
-        "hybrid_knn": hybrid_knn,
+        "hybrid_range": hybrid_range,
+        "hybrid_reciprocal_knn": hybrid_reciprocal_knn,
+        "signature_lp_range": signature_lp_range,
+        "signature_popularity": signature_popularity,
+        "cws_recall_i2cws": _weighted_recall("i2cws"),
+        "cws_recall_pcws": _weighted_recall("pcws"),
+        "cws_recall_scws": _weighted_recall("scws"),
+        "generic_sparse_jaccard_knn": _generic_sparse("jaccard", "identity"),
+        "generic_sparse_l2_knn": _generic_sparse("l2", "reciprocal"),
+        "cache_knn_popularity": cache_knn_popularity,
+        "auto_dense_few": _auto_strategy("dense", "l2", "reciprocal", {"label": ["7"]}, vectors),
+        "auto_dense_many": _auto_strategy("dense", "l2", "reciprocal", {"label": ["0", "1", "2"]}, vectors),
+        "auto_sparse": _auto_strategy("inverted", "jaccard", "identity", {"lang": ["en"]}, documents),
+        "popularity_bounds": popularity_bounds,
+        "filtered_query_terms": filtered_query_terms,
+        "record_shapes": record_shapes,
+        "compensated_sums": compensated_sums,
+        "facade_lifecycle": facade_lifecycle,
+        "stream_visible_rows": stream_visible_rows,
+        "lsm_compaction": lsm_compaction,
         "lsm_visible_rows": lsm_visible_rows,
         "lsm_effective_counts": lsm_effective_counts,
         "lsm_knn_after_updates": lsm_knn_after_updates,
@@ -285,13 +438,16 @@ p AS (SELECT * EXCLUDE (alive) FROM (SELECT *, max((value <> 0)::INTEGER) OVER (
 _WEIGHT = {"jaccard": lambda x: f"abs(sign({x}))", "ruzicka": lambda x: f"abs({x})", "l2": lambda x: f"{x} * {x}"}
 
 
-def _sparse_sql(name: str, k: int = K, least: float = 0.0, signed: bool = False, fraction: float | None = None, norm: str = "sim") -> str:
+def _sparse_sql(name: str, k: int = K, least: float = 0.0, signed: bool = False, fraction: float | None = None, popular: str | None = None, rows: str | None = None) -> str:
+    """popular: SQL of the terms that are left out. rows: SQL of the rows that may be hits."""
     w = _WEIGHT[name]
     ctes = _terms(signed)
     src = "p"
     if fraction is not None:
+        popular = f"SELECT term FROM p GROUP BY term HAVING count(*) > (SELECT floor(n * {fraction}) FROM n)"
+    if popular is not None:
         ctes += f""",
-n AS (SELECT count(DISTINCT row_num) AS n FROM p), pop AS (SELECT term FROM p GROUP BY term HAVING count(*) > (SELECT floor(n * {fraction}) FROM n)),
+n AS (SELECT count(DISTINCT row_num)::DOUBLE AS n FROM p), pop AS ({popular}),
 f AS (SELECT * FROM p WHERE term NOT IN (SELECT term FROM pop))"""
         src = "f"
     ctes += f", u AS (SELECT row_num, sum({w('value')}) AS uni FROM {src} GROUP BY row_num)"
@@ -303,16 +459,33 @@ f AS (SELECT * FROM p WHERE term NOT IN (SELECT term FROM pop))"""
         ctes += f""", s AS (SELECT a.row_num AS qid, b.row_num, sum(CASE WHEN sign(a.value) = sign(b.value) THEN least({w('a.value')}, {w('b.value')}) ELSE 0 END) AS x
   FROM {src} a JOIN {src} b USING (term) WHERE a.row_num % 100 = 0 GROUP BY ALL)"""
         value = "CASE WHEN uq.uni + ur.uni - s.x = 0 THEN 1.0 ELSE s.x / (uq.uni + ur.uni - s.x) END"
-    return _top(f"SELECT s.qid, s.row_num, {value} AS sim FROM s JOIN u uq ON uq.row_num = s.qid JOIN u ur ON ur.row_num = s.row_num", k, least, ctes)
+    return _top(f"SELECT s.qid, s.row_num, {value} AS sim FROM s JOIN u uq ON uq.row_num = s.qid JOIN u ur ON ur.row_num = s.row_num" + (f" WHERE s.row_num IN ({rows})" if rows else ""), k, least, ctes)
 
 
-def _minhash_sql() -> str:
+def _minhash_sql(terms: str | None = None) -> str:
     ab = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(signatures.coefficients(MINHASHES)))
-    return f"""{_terms(False)}, ab(i, a, b) AS (VALUES {ab}),
+    return f"""{_terms(False) if terms is None else terms}, ab(i, a, b) AS (VALUES {ab}),
 h AS (SELECT row_num, i, term, 1 AS sign, (a * ('0x' || substr(md5(term), 1, 7))::BIGINT + b) % 2147483647 AS h FROM p, ab),
 m AS (SELECT row_num, i, term, sign, h FROM (SELECT *, row_number() OVER (PARTITION BY row_num, i ORDER BY h, term) AS r FROM h) WHERE r = 1)"""
 
 
+_PAIRS = """
+s AS (SELECT a.row_num AS qid, b.row_num, count(*) AS x FROM {rows} a JOIN {rows} b USING (term) WHERE a.row_num % 100 = 0 GROUP BY ALL),
+u AS (SELECT row_num, count(*) AS uni FROM {rows} GROUP BY row_num),
+j AS (SELECT s.qid, s.row_num, x / (uq.uni + ur.uni - x) AS jaccard, ur.uni AS n_terms FROM s JOIN u uq ON uq.row_num = s.qid JOIN u ur ON ur.row_num = s.row_num),
+k AS (SELECT DISTINCT row_num, term FROM m),
+c AS (SELECT DISTINCT a.row_num AS qid, b.row_num FROM k a JOIN k b USING (term) WHERE a.row_num % 100 = 0)"""
+
+
+def _generic_sql(name: str, value: str) -> str:
+    w = _WEIGHT[name]
+    same = "sum((a.value - b.value) * (a.value - b.value)) - sum(a.value * a.value) - sum(b.value * b.value)" if name == "l2" else f"sum(CASE WHEN sign(a.value) = sign(b.value) THEN least({w('a.value')}, {w('b.value')}) ELSE 0 END)"
+    ctes = f"""{_terms(True)}, u AS (SELECT row_num, sum({w('value')}) AS uni FROM p GROUP BY row_num),
+s AS (SELECT a.row_num AS qid, b.row_num, {same} AS x FROM p a JOIN p b USING (term) WHERE a.row_num % 100 = 0 GROUP BY ALL),
+t AS (SELECT q.row_num AS qid, r.row_num, q.uni AS uq, r.uni AS ur, coalesce(s.x, 0) AS x FROM u q JOIN u r ON q.row_num % 100 = 0 LEFT JOIN s ON s.qid = q.row_num AND s.row_num = r.row_num)"""
+    return _top(f"SELECT qid, row_num, {value} AS sim FROM t", K, 0.0, ctes)
+
+
 _LOG = """
 log AS (SELECT event_id AS seq, user_id AS row_num, event_type, value,
   CASE WHEN event_id % 37 = 0 THEN 'D' WHEN event_id % 3 = 0 THEN 'I' ELSE 'U' END AS op FROM events),
@@ -322,6 +495,19 @@ eff AS (SELECT * FROM d WHERE (op = 'I' AND born = 0) OR (op <> 'I' AND born = 1
 vis AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_num ORDER BY seq DESC) AS r FROM eff) WHERE r = 1 AND op <> 'D')"""
 
 
+def _auto_dense_sql(labels: str) -> str:
+    l2 = f"1 / (1 + {_DIST})"
+    few = f"(SELECT count(*) FILTER (WHERE label IN ({labels})) <= floor(count(*) * 0.1) FROM embeddings)"
+    pool = f"""
+, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE label IN ({labels})) AS m FROM v),
+pool AS (SELECT CASE WHEN {few} THEN n ELSE least(50, greatest(10, ceil(10.0 * n / m)))::INTEGER END AS pool FROM n)"""
+    return _top(
+        "SELECT qid, row_num, s::DOUBLE AS sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, row_num) AS r FROM "
+        f"(SELECT q.row_num AS qid, v.row_num, v.label, CAST({l2} AS FLOAT) AS s FROM q, v)), pool WHERE r <= pool AND label IN ({labels})",
+        K, 0.0, _VEC + pool,
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     l2 = f"1 / (1 + {_DIST})"
     pool = """
@@ -381,7 +567,44 @@ SELECT a.row_num AS qid, b.row_num, count(*) AS n_shared FROM k a JOIN k b USING
         # The candidates are approximate, the similarities exact: at this threshold 270 signatures find every pair.
         "signature_minhash_range": _sparse_sql("jaccard", K, 0.5),
         "signature_icws_range": _sparse_sql("ruzicka", K, 0.5),
-        "hybrid_knn": _sparse_sql("jaccard", K, 0.5),
+        "hybrid_range": _sparse_sql("jaccard", K, 0.5),
+        "hybrid_reciprocal_knn": _top(
+            "SELECT qid, row_num, 1 / (1 + jaccard) AS sim FROM j WHERE n_terms <= 270 UNION ALL SELECT qid, row_num, 1 / (1 + jaccard) FROM j JOIN c USING (qid, row_num) WHERE n_terms > 270",
+            K, 0.0, _minhash_sql() + ", " + _PAIRS.format(rows="p"),
+        ),
+        # At this threshold the value's bound is below the margin, so no key is left out.
+        "signature_lp_range": _top("SELECT qid, row_num, 1 - jaccard / 2 AS sim FROM j JOIN c USING (qid, row_num)", K, 0.95, _minhash_sql() + ", " + _PAIRS.format(rows="p")),
+        "signature_popularity": _top(
+            "SELECT qid, row_num, jaccard AS sim FROM j JOIN c USING (qid, row_num)", K, 0.0,
+            _minhash_sql(_terms(False).replace("p AS", "every AS").replace("FROM p0) WHERE", "FROM p0) WHERE") + """,
+n AS (SELECT count(DISTINCT row_num) AS n FROM every), pop AS (SELECT term FROM every GROUP BY term HAVING count(*) > (SELECT floor(n * 0.2) FROM n)),
+p AS (SELECT * FROM every WHERE term NOT IN (SELECT term FROM pop))""") + ", " + _PAIRS.format(rows="p"),
+        ),
+        **{f"cws_recall_{kind}": f"SELECT '{kind}' AS kind, count(*) AS n_true, TRUE AS recall_is_high, TRUE AS none_is_wrong FROM ({_sparse_sql('ruzicka', 1000, 0.5)})" for kind in ("i2cws", "pcws", "scws")},
+        "generic_sparse_jaccard_knn": _generic_sql("jaccard", "CASE WHEN uq + ur - x = 0 THEN 1.0 ELSE x / (uq + ur - x) END"),
+        "generic_sparse_l2_knn": _generic_sql("l2", "1 / (1 + sqrt(greatest(0, uq + ur + x)))"),
+        "cache_knn_popularity": _sparse_sql("jaccard", popular=f"SELECT term FROM (SELECT term, count(*) AS df FROM p GROUP BY term), n WHERE least(1, df / n + {popularity.z_value(0.99)!r} * sqrt(df / n * (1 - df / n) / n)) > 0.2"),
+        # At most a tenth of the rows match: filtered first.  More match: a pool of unfiltered hits is filtered afterwards.
+        "auto_dense_few": _auto_dense_sql("7"),
+        "auto_dense_many": _auto_dense_sql("0, 1, 2"),
+        "auto_sparse": _sparse_sql("jaccard", rows="SELECT doc_id FROM documents WHERE lower(trim(lang)) = 'en'"),
+        "popularity_bounds": f"""WITH c AS (SELECT lang, count(*)::DOUBLE AS df, (SELECT count(*) FROM documents)::DOUBLE AS n FROM documents GROUP BY lang),
+b AS (SELECT lang, df / n AS share, {popularity.z_value(0.95)!r} * sqrt(df / n * (1 - df / n) / n) AS e FROM c)
+SELECT lang, round(greatest(0.0, share - e), 9) AS low, round(least(1.0, share + e), 9) AS high FROM b""",
+        "filtered_query_terms": f"""WITH {_terms(False)}, n AS (SELECT count(DISTINCT row_num) AS n FROM p),
+pop AS (SELECT term FROM p GROUP BY term HAVING count(*) > (SELECT floor(n * 0.05) FROM n))
+SELECT row_num AS qid, count(*)::DOUBLE AS before, count(*) FILTER (WHERE term NOT IN (SELECT term FROM pop))::DOUBLE AS after
+FROM p WHERE row_num % 100 = 0 GROUP BY row_num HAVING count(*) FILTER (WHERE term NOT IN (SELECT term FROM pop)) > 0""",
+        "record_shapes": """WITH t AS (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n FROM documents),
+s AS (SELECT CASE WHEN doc_id % 7 <> 0 AND n > 0 THEN 1 ELSE 0 END AS t, CASE WHEN doc_id % 3 <> 0 AND n > 0 THEN 1 ELSE 0 END AS v FROM t)
+SELECT CASE WHEN t = 1 AND v = 1 THEN 'sparse' WHEN v = 1 THEN 'dense' WHEN t = 1 THEN 'sequence' ELSE 'empty' END AS shape, count(*) AS n FROM s GROUP BY 1""",
+        "compensated_sums": "SELECT vec_id AS row_num, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings",
+        "facade_lifecycle": """WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings WHERE vec_id < 40)
+SELECT row_num, first_value, n AS first_id, 'true,true,false,false' AS gone FROM n, (
+  SELECT vec_id AS row_num, CASE WHEN vec_id = 5 THEN 0.0 ELSE round(embedding[1]::DOUBLE, 5) END AS first_value FROM embeddings WHERE vec_id < 40 AND vec_id NOT IN (7, 8)
+  UNION ALL SELECT n, 1.0 FROM n UNION ALL SELECT n + 1 + i, i::DOUBLE FROM n, range(5) t(i))""",
+        "stream_visible_rows": f"WITH {_LOG} SELECT row_num, round(value::FLOAT::DOUBLE, 5) AS value, event_type AS type FROM vis",
+        "lsm_compaction": f"WITH {_LOG} SELECT row_num, round(value::FLOAT::DOUBLE, 5) AS value, TRUE AS few_segments FROM vis",
         "hybrid_route_counts": f"""WITH {_terms(False)}, n AS (SELECT row_num, count(*) AS n FROM p GROUP BY row_num)
 SELECT n > 270 AS is_long, count(*) AS n_records, sum(n)::BIGINT AS n_terms FROM n GROUP BY 1""",
         "lsm_visible_rows": f"WITH {_LOG} SELECT row_num, seq, event_type AS type FROM vis",

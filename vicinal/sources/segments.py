@@ -2,7 +2,7 @@
 
 Each version of the manifest is one small JSON file, written through Spark's file system, so that the folder may lie in
 any store; readers take the newest. A record lives in exactly one segment unless a tombstone of a later generation
-hides it. Compaction merges the oldest segments and drops what is hidden.
+hides it. What belongs together is published in one version. Compaction merges the oldest segments and drops what is hidden.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StoreError
+
 RECORD = "row_num bigint, terms array<string>, values array<float>, metadata map<string,string>"
 
 
@@ -41,38 +43,49 @@ class SegmentStore:
         return json.loads(rows[0])
 
     def publish(self, manifest: dict) -> None:
-        """A new version. Creating its file fails if another writer was first."""
+        """A new version, whole at once: it is written under a name of its own and then renamed. Fails if another writer was first.
+
+        Renaming without overwriting is atomic on HDFS and local disks. An object store whose rename is not must have one writer only.
+        """
         version = (self._versions() or [0])[-1] + 1
         fs, p = self._fs(f"{self.path}/manifest/{version:012d}.json")
-        out = fs.create(p, False)
+        _, draft = self._fs(f"{self.path}/manifest/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
         out.write(json.dumps(manifest).encode())
         out.close()
+        if fs.exists(p) or not fs.rename(draft, p):
+            fs.delete(draft, False)
+            raise StoreError(f"version {version} of {self.path} was published by another writer")
 
-    def _write(self, df: DataFrame, what: str) -> str:
+    def write(self, df: DataFrame, what: str) -> str:
         path = f"{self.path}/{what}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def append(self, records: DataFrame, next_row: int | None = None) -> dict:
-        """A new segment of the next generation."""
+    def change(self, records: DataFrame | None = None, gone: DataFrame | None = None, next_row: int | None = None, **more) -> dict:
+        """Tombstones for gone in all segments so far, a new segment of records, and anything else the manifest is to say, in one version."""
         m = self.manifest()
-        gen = m["generation"] + 1
-        path = self._write(records.select("row_num", "terms", "values", "metadata"), "segment")
+        gen = m["generation"]
+        if gone is not None:
+            gen += 1
+            m["tombstones"].append({"gen": gen, "path": self.write(gone.select(F.col("row_num").cast("bigint")), "tombstones")})
+        if records is not None:
+            gen += 1
+            path = self.write(records.select("row_num", "terms", "values", "metadata"), "segment")
+            m["segments"].append({"gen": gen, "path": path, "rows": self.spark.read.parquet(path).count()})
         m["generation"] = gen
-        m["segments"].append({"gen": gen, "path": path, "rows": self.spark.read.parquet(path).count()})
         if next_row is not None:
             m["next_row"] = next_row
-        self.publish(m)
-        return m
+        self.publish(m | more)
+        return m | more
+
+    def append(self, records: DataFrame, next_row: int | None = None) -> dict:
+        """A new segment of the next generation."""
+        return self.change(records, None, next_row)
 
     def delete(self, row_nums: DataFrame) -> dict:
         """Tombstones that hide these rows in all segments so far."""
-        m = self.manifest()
-        gen = m["generation"] + 1
-        m["generation"] = gen
-        m["tombstones"].append({"gen": gen, "path": self._write(row_nums.select(F.col("row_num").cast("bigint")), "tombstones")})
-        self.publish(m)
-        return m
+        return self.change(None, row_nums)
 
     def segment(self, entry: dict, m: dict | None = None) -> DataFrame:
         """Visible rows of one segment."""
@@ -98,7 +111,7 @@ class SegmentStore:
         merged = self.segment(old[0], m)
         for entry in old[1:]:
             merged = merged.unionByName(self.segment(entry, m))
-        path = self._write(merged, "segment")
+        path = self.write(merged, "segment")
         # All tombstones are applied to the merged segment, so it counts as younger than those that precede what follows.
         following = m["segments"][n:]
         applied = [t["gen"] for t in m["tombstones"] if not following or t["gen"] < following[0]["gen"]]
