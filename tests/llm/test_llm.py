@@ -314,6 +314,11 @@ def test_ibans_before_upper_case_words():
     assert pii.masked(text) == "AB12 [IBAN] EUR"
 
 
+def test_routing_numbers_need_a_context_word():
+    assert [x[:3] for x in pii.scan("bank routing 021000021 now")] == [("routing", 13, 22)]
+    assert pii.scan("number 021000021 alone") == [] and pii.scan("routing 021000022") == [] and pii.masked("aba 021000021.") == "aba [ROUTING]."
+
+
 def test_checksums_context_and_masking(spark, odd, none):
     text = "My IBAN DE89 3704 0044 0532 0130 00, card 4111 1111 1111 1111, mail a.b@c.org"
     assert [s[0] for s in pii.scan(text)] == ["iban", "card", "email"] or {s[0] for s in pii.scan(text)} >= {"iban", "card", "email"}
@@ -365,27 +370,25 @@ def test_language(spark, odd, none):
 
 def test_phrases_equal_a_plain_parse():
     rng = random.Random(10)
-    sample = {"x": "".join(rng.choice("abc ") for _ in range(300)).encode(), "y": b"abcabc"}
+    prose_ = "".join(rng.choice("abc ") for _ in range(900))
+    sample = {"x": prose_.encode(), "y": b"abcabc"}
     parser = langid.Parser(sample)
-    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 300))).encode() for _ in range(20)]
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 700))) for _ in range(20)]
+    texts += [prose_[7:850], "c" + prose_[3:500] + "d" + prose_[100:800], prose_[400:500] + prose_[:700], "d" * 400, ("abc" * 200)[1:]]
+    texts = [t.encode() for t in texts]
     bounds = np.cumsum([0, *map(len, texts)])
     got = parser.phrases(np.frombuffer(b"".join(texts), np.uint8), bounds)
     for t, row in zip(texts, got, strict=True):
         for lang, n in zip(parser.langs, row, strict=True):
-            count = 0
-            for s in range(0, len(t), langid.SEGMENT):
-                seg, i = t[s : s + langid.SEGMENT], 0
-                count += 1
-                first = True
-                while i < len(seg):
-                    j = i + 1
-                    while j <= len(seg) and seg[i:j] in sample[lang]:
-                        j += 1
-                    size = max(1, j - 1 - i)
-                    unknown = seg[i : i + 1] not in sample[lang]
-                    count += (not first) or unknown
-                    i += size
-                    first = unknown
+            i, count, first = 0, int(len(t) > 0), True
+            while i < len(t):
+                j = i + 1
+                while j <= len(t) and t[i:j] in sample[lang]:
+                    j += 1
+                unknown = t[i : i + 1] not in sample[lang]
+                count += (not first) or unknown
+                i += max(1, j - 1 - i)
+                first = unknown
             assert n == count
 
 
@@ -421,6 +424,16 @@ def test_warc_round_trip(spark):
 # 9 Top-k
 
 
+def test_warc_of_hot_and_odd_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 10)
+    rows = [(i, f"u{i}", "hot page") for i in range(200)] + [(i, None, f"page {i}") for i in range(200, 260)] + [(None, "n", "no id"), (None, "n", "no id"), (7, "u7", "hot page"), (None, "n", "hot page"), (300, "e", None), (301, "e", "")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    told = collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got)
+    want = collections.Counter((i, "revisit", 199, 8) for i in range(199)) + collections.Counter([(199, "response", None, 8), (7, "revisit", 199, 8), (None, "revisit", 199, 8), (300, "revisit", 301, 0), (301, "response", None, 0)])
+    want += collections.Counter((i, "response", None, 8) for i in range(200, 260)) + collections.Counter({(None, "response", None, 5): 2})
+    assert told == want
+
+
 def test_top_k_equals_full_scoring():
     rng = np.random.default_rng(11)
     ids, rows = rng.permutation(3000), np.floor(64 * rng.normal(size=(3000, 16)) / 4)

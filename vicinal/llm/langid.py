@@ -4,7 +4,8 @@
 it, flattened to a dense transition table. `predict` cuts a whole text into the longest stretches that occur in a
 language's sample; a phrase costs log2(sample length) bits, and the language of the lowest total wins
 (ties: the smaller name). Texts are read as lower-case letters with single spaces, in segments that are parsed
-side by side, one numpy step per position for thousands of segments; a phrase ends with its segment.
+side by side, one numpy step per position for thousands of segments; then the parse is carried over from each segment to the next, so
+that phrases are as long as in a parse of the whole text.
 
 Defined results: null, empty or letterless text gives `und` and score 0; without any labelled text everything is
 `und`; rows with a null id are never learned from; repeated rows get equal results; extra columns are ignored.
@@ -39,10 +40,12 @@ def train(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     """
     rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     by = Window.partitionBy("lang").orderBy("h", "id")
-    ids = rows.select(F.col(lang_col).alias("lang"), F.col(order_col).alias("id"), F.xxhash64(order_col).alias("h"))
+    ids = rows.select(F.col(lang_col).alias("lang"), F.col(order_col).alias("id"), F.xxhash64(order_col).alias("h")).distinct()
     ids = ids.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_ROWS)
     texts = rows.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text"))
-    chosen = texts.join(F.broadcast(ids), ["id", "lang"]).select("lang", "h", "id", "text").collect()
+    # Of rows with one id and language, one of the smallest text hash.
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    chosen = texts.join(F.broadcast(ids.select("lang", "h", "id")), ["id", "lang"]).groupBy("lang", "h", "id").agg(one).collect()
     sample: dict[str, list[bytes]] = {}
     for row in sorted(set(chosen), key=lambda r: (r["lang"], r["h"], str(r["id"]))):
         text = pc.utf8_lower(pa.array([row["text"]]))
@@ -123,7 +126,11 @@ class Parser:
         return table.ravel()
 
     def phrases(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Phrases of each row in each language."""
+        """Phrases of each row in each language.
+
+        Segments are first parsed side by side as if a phrase began with each. Then each is parsed again from the state in which
+        the one before it really ends, until both parses stand in the same state, which is soon; where they never do, the next one begins anew.
+        """
         lengths = np.diff(bounds)
         n_seg = -(-lengths // SEGMENT)
         total = int(n_seg.sum())
@@ -136,21 +143,55 @@ class Parser:
         begin = bounds[owner] + nth * SEGMENT
         size = np.minimum(SEGMENT, bounds[owner + 1] - begin)
         order = np.argsort(-size, kind="stable")
+        rank = np.empty(total, np.int64)
+        rank[order] = np.arange(total)
+        after = np.full(total, -1)  # the rank of the segment that follows in the same row
+        inner = np.flatnonzero(nth[1:] > 0)
+        after[rank[inner]] = rank[inner + 1]
         owner, begin, size = owner[order], begin[order], size[order]
         codes = self.code[data]
         open_at = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")  # segments of at least so many bytes
         for j, table in enumerate(self.tables):
+            states = np.zeros((SEGMENT, total), dtype=np.int32)
+            breaks = np.zeros((SEGMENT + 1, total), dtype=np.int16)  # before each position
             state = np.zeros(total, dtype=np.int32)
-            count = np.ones(total, dtype=np.int32)
             for t in range(SEGMENT):
                 n = open_at[t]
                 if not n:
                     break
                 to = table[state[:n] + codes[begin[:n] + t]]
                 broke = to >> 31
-                count[:n] -= broke
                 state[:n] = to ^ broke
-            out[:, j] = np.bincount(owner, weights=count, minlength=len(lengths))
+                states[t, :n] = state[:n]
+                breaks[t + 1, :n] = breaks[t, :n] - broke
+            count, end = breaks[size, np.arange(total)].astype(np.int64), state
+            todo = np.flatnonzero(after >= 0)
+            enter = end[todo].copy()
+            todo = after[todo]
+            while len(todo):
+                # Parsed in lockstep; lanes leave when they meet the first parse or their segment ends.
+                was, lane, now, number = end[todo].copy(), np.arange(len(todo)), enter.copy(), np.zeros(len(todo), np.int64)
+                for t in range(SEGMENT):
+                    here = todo[lane]
+                    to = table[now[lane] + codes[begin[here] + t]]
+                    broke = to >> 31
+                    now[lane] = to ^ broke
+                    number[lane] -= broke
+                    met = now[lane] == states[t, here]
+                    over = size[here] == t + 1
+                    done = met | over
+                    if done.any():
+                        at, same = lane[done], met[done]
+                        segment = todo[at]
+                        rest = breaks[size[segment], segment] - breaks[t + 1, segment]
+                        count[segment] = number[at] + np.where(same, rest, 0)
+                        end[segment] = np.where(same, states[size[segment] - 1, segment], now[at])
+                        lane = lane[~done]
+                        if not len(lane):
+                            break
+                changed = (end[todo] != was) & (after[todo] >= 0)
+                enter, todo = end[todo[changed]].copy(), after[todo[changed]]
+            out[:, j] = np.bincount(owner, weights=count, minlength=len(lengths)) + (lengths > 0)
         return out
 
 

@@ -1,6 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
-Kinds: email, ip, card (Luhn), phone, and iban (mod-97), which the method adds. Positions are code
+Kinds: email, ip, card (Luhn), phone, and those that the method adds, iban (mod-97) and routing (bank routing numbers, weights
+3, 7, 1), which counts only where a context word raises its score to LEAST_SCORE. Positions are code
 points, end exclusive. Every scanner is linear in the length of the text: runs are taken whole
 (possessive), and an address is grown outwards from its at sign.
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from ._session import small_batches
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "routing")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -30,6 +31,7 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_ROUTING = re.compile(r"(?<![A-Za-z0-9.-])[0-9]{9}(?![A-Za-z0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 
 #: Words that make a kind likelier when they stand within REACH code points of a span.
@@ -39,11 +41,14 @@ CONTEXT = {
     "card": ("card", "credit", "visa", "mastercard", "tarjeta", "karte", "carte", "payment"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "contact"),
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte", "transfer"),
+    "routing": ("routing", "aba", "rtn", "bank", "transit"),
 }
 REACH = 40
 _NEAR = {k: re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, v)) + r")(?![^\W_])", re.I) for k, v in CONTEXT.items()}
 #: Score of a bare pattern, and what a passed checksum and a context word add.
 BARE, CHECKED, NEARBY = 0.55, 0.3, 0.15
+#: Scores from which spans of a kind count, where a checksum alone says too little: one in ten numbers passes that of a routing number.
+LEAST_SCORE = {"routing": 0.95}
 
 
 def luhn(digits: str) -> bool:
@@ -61,6 +66,12 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def aba(digits: str) -> bool:
+    """Weights 3, 7, 1; first two digits as they are given out."""
+    first = int(digits[:2])
+    return sum(int(c) * w for c, w in zip(digits, (3, 7, 1) * 3, strict=True)) % 10 == 0 and (first <= 12 or 21 <= first <= 32 or 61 <= first <= 72 or first == 80) and digits != "0" * 9
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     free, at = 0, text.find("@")
     while at >= 0:
@@ -116,6 +127,8 @@ def scan(text: str | None) -> list[tuple[str, int, int, bool]]:
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 found.append(("phone", m.start(), m.end(), False))
         found += [("iban", a, b, True) for a, b in _ibans(text)]
+        found += [("routing", m.start(), m.end(), True) for m in _ROUTING.finditer(text) if aba(m[0])]
+        found = [s for s in found if s[0] not in LEAST_SCORE or score(text, *s) >= LEAST_SCORE[s[0]]]
     if len(found) > 1:
         found.sort(key=lambda s: (s[1], _ORDER[s[0]]))
     return found
@@ -136,6 +149,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col:
                 rows.append([{"kind": k, "start": s, "end": e, "score": score(t, k, s, e, c)} for k, s, e, c in scan(t)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(_SPAN))], ["id", "spans"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     got = df.select(id_col, text_col).mapInArrow(run, f"id {kind}, spans {SPANS}")
     return got.toDF(id_col, out_col)

@@ -10,7 +10,7 @@ on that part, so the model cannot overfit the unlabelled rows. The prior is the
 rows. Fitting uses a bounded sample (POSITIVES, UNLABELLED rows); scoring covers every row and its whole text.
 
 Defined results: a null or wordless text scores as the bias alone says; without positives or unlabelled rows every
-score is 0; rows with a null id or label are never positives; repeated rows score alike; extra columns are ignored.
+score is 0; rows with a null id or label are never positives; repeated rows score alike, and of rows with one id one is learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._session import small_batches
 
 #: Bounds of the sample that the model is fitted to, in rows.
 POSITIVES, UNLABELLED = 4000, 12000
@@ -52,7 +53,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
-    """Features of the rows of docs whose id is in ids, a bounded table."""
+    """Features of the rows of docs whose id is in ids, a bounded table; of rows with one id, one of the smallest text hash."""
 
     def run(batches):
         for b in batches:
@@ -62,12 +63,14 @@ def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list
                 out += [got[rows[i] : rows[i + 1]].astype("<i4").tobytes() for i in range(c.rows)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["f"])
 
-    rows = docs.join(F.broadcast(ids), id_col, "left_semi").select(text_col).mapInArrow(run, "f binary").collect()
+    chosen = docs.join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias("text"))
+    rows = chosen.select("text").mapInArrow(run, "f binary").collect()
     return [np.frombuffer(r["f"], "<i4").astype(np.int64) for r in sorted(rows, key=lambda r: bytes(r["f"]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Model:
     """The model, from the rows that `learn` allows. The sample is that of the smallest hashes of the ids."""
+    small_batches(docs.sparkSession)
     zero = Model(np.zeros(1 << BITS), -30.0)
     known = labels.where(learn & F.col(label_col).isNotNull()).select(id_col, label_col).distinct()
     n, n_pos = known.agg(F.count(F.lit(1)), F.sum((F.col(label_col) == 1).cast("long"))).first()
@@ -76,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     prior = min(n_pos / n, 0.9)
     by_hash = F.xxhash64(F.col(id_col))
     pos_ids = known.where(F.col(label_col) == 1).select(id_col).orderBy(by_hash, id_col).limit(POSITIVES)
-    all_ids = docs.where(learn).select(id_col).orderBy(by_hash, id_col).limit(UNLABELLED)
+    all_ids = docs.where(learn).select(id_col).distinct().orderBy(by_hash, id_col).limit(UNLABELLED)
     pos, unl = _sample(docs, pos_ids, id_col, text_col), _sample(docs, all_ids, id_col, text_col)
     if not pos or not unl:
         return zero
@@ -137,6 +140,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, seed: int =
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and score of the whole text. No shuffle."""
+    small_batches(docs.sparkSession)
     at = np.flatnonzero(model.weights)
     slim, bias = (at.astype(np.int32), model.weights[at].astype(np.float32)), model.bias
 

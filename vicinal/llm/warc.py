@@ -26,11 +26,16 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._prefilter import marked
 from ._session import fresh_dir, written
 
 INDEX = "page_id bigint, url string, payload_digest string, payload_bytes bigint, record_type string, refers_to bigint, file string, offset bigint, length bigint"
 #: A file is closed beyond this size; a range is read up to RANGE bytes at once, over gaps of at most GAP.
 FILE_BYTES, RANGE_BYTES, GAP_BYTES = 128 << 20, 4 << 20, 64 << 10
+#: Bytes of records that a reading task gets, about.
+READ_BYTES = 16 << 20
+#: Pages of one digest that meet one copy of its row, copies at most, and hot digests that may be broadcast.
+HOT_ROWS, MOST_DEALS, MOST_HOT = 100_000, 4096, 100_000
 
 
 def digest_column(payload: Column) -> Column:
@@ -43,8 +48,9 @@ def digest_column(payload: Column) -> Column:
 def decided(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
     """Pages with their digest, record type and referred response.
 
-    The largest id of each digest is a partial aggregate; it goes back to the pages by their id and digest in narrow rows, whose hot digests
-    are salted.
+    The largest id of each digest that several pages have is a partial aggregate, written as a narrow table. Pages whose digest is surely
+    alone meet nothing and stay where they are, so only payloads that several pages have are shuffled, and none if the table is small. A hot
+    digest's row is copied once for every HOT_ROWS of its pages, which are dealt among the copies.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(
@@ -54,13 +60,24 @@ def decided(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", pay
         digest_column(payload).alias("payload_digest"),
         F.octet_length(payload).cast("bigint").alias("payload_bytes"),
     )
-    n_salts = 16
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(n_salts))
     top = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    # Most payloads are alone: their pages need no partner. The others meet salted copies of their digest's row.
-    shared = top.where(F.col("n") > 1).select("payload_digest", "top", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_salts - 1).cast("bigint"))).alias("salt"))
-    joined = rows.withColumn("salt", salt).join(shared, ["payload_digest", "salt"], "left")
-    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
+    shared = written(top.where(F.col("n") > 1), "shared-digests")
+    most = shared.agg(F.max("n")).first()[0] or 1
+    deals = min(MOST_DEALS, -(-most // HOT_ROWS))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(deals), F.ceil(F.col("n") / HOT_ROWS)) - 1)).alias("deal")
+    maybe = marked(rows, "payload_digest", shared.select("payload_digest"), "payload_digest", "__shared")
+    alone = maybe.where("NOT __shared").drop("__shared").withColumn("top", F.lit(None).cast("bigint"))
+    several = maybe.where("__shared").drop("__shared")
+    if deals == 1:
+        several = several.join(shared.select("payload_digest", "top"), "payload_digest", "left")
+    else:  # which copy a page meets depends on its digest's number of pages, a narrow join beforehand
+        sizes = shared.where(F.col("n") > HOT_ROWS).select("payload_digest", F.least(F.lit(deals), F.ceil(F.col("n") / HOT_ROWS)).alias("deals"))
+        several = several.join(F.broadcast(sizes) if sizes.count() <= MOST_HOT else sizes, "payload_digest", "left")
+        several = several.withColumn("deal", F.pmod(F.xxhash64("page_id"), F.coalesce("deals", F.lit(1)))).drop("deals")
+        several = several.join(shared.select("payload_digest", "top", copies), ["payload_digest", "deal"], "left").drop("deal")
+    joined = alone.unionByName(several)
+    # A digest that only seemed to be shared, or is shared by pages without ids, has no top.
+    revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (F.col("payload_bytes") >= least_bytes)
     return joined.select(
         "page_id", "url", "payload_digest", "payload_bytes",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
@@ -182,8 +199,10 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame, payloads:
                 yield pa.RecordBatch.from_pylist(got, schema=_READ)
 
     schema = INDEX.split(", file")[0] + ", payload binary"
-    # Places only: the ranges are few and of about one size, whichever page is hot.
-    return ranges(index).repartition(F.col("file"), F.col("range")).mapInArrow(run, schema)
+    # The ranges are few rows but much work each, so the number of tasks follows the bytes that they read.
+    found = ranges(index)
+    n_bytes = index.agg(F.sum("length")).first()[0] or 0
+    return found.repartition(max(1, -(-n_bytes // READ_BYTES)), "file", "range").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, **columns: str) -> DataFrame:
