@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
+
 _ONE: dict[Any, Any] = {}
 
 
@@ -13,3 +16,17 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
         _ONE.clear()
         _ONE[key] = make()
     return _ONE[key]
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, which gives freed memory back at the end of a task: a worker lives on, and its next operator needs other arrays."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return tidied

@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _text
-from ._held import held
+from ._held import held, tidy
 from ._session import small_batches
 
 BITS, RANK, DROPPED, OVERSAMPLE, PASSES = 13, 64, 4, 8, 1
 PASSAGE, BLOCK, WIDTHS = 64, 4, (16, 32, 64)
 #: Sizes of working arrays, which bound memory and change no result: passages and words of the dense part, words and pairs of window and item.
-PASSAGES_AT_ONCE, OFTEN, WORDS_AT_ONCE, PAIRS_AT_ONCE, FAN_IN = 2048, 512, 1 << 18, 1 << 22, 6
+PASSAGES_AT_ONCE, OFTEN, WORDS_AT_ONCE, PAIRS_AT_ONCE, FAN_IN = 1024, 512, 1 << 18, 1 << 20, 6
 LEAST_WORDS = 5
 COSINE = 0.4
 #: Hashed words of a larger share of the passages have the small weight WEAK.
@@ -122,10 +122,12 @@ def _padded(table: np.ndarray) -> np.ndarray:
 def _summed(texts: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
     """The sum over all tasks of the array that make(chunks) returns, added up in rounds of partial sums of about FAN_IN arrays each."""
 
+    @tidy
     def run(batches):
         total = make(c for b in batches for c in _chunks(b.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["z"])
 
+    @tidy
     def add(batches):
         total = None
         for b in batches:
@@ -509,6 +511,7 @@ def hits(docs: DataFrame, items: DataFrame, space: Space | None = None, id_col:
     for ids, texts, times in _sets(items, item_id, item_text):
         shared = spark.sparkContext.broadcast((space, ids, texts, times))
 
+        @tidy
         def run(batches, shared=shared):
             screen, times = _screen(shared), shared.value[3]
             for b in batches:
@@ -534,6 +537,7 @@ def clean(docs: DataFrame, items: DataFrame, space: Space | None = None, text_co
     for one in _sets(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast((space, *one))
 
+        @tidy
         def run(batches, shared=shared):
             screen = _screen(shared)
             for b in batches:

@@ -20,12 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._held import held
+from ._held import held, tidy
 from ._session import small_batches
 
 #: Labelled rows a language whose text may be used, and bytes of it that are.
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 24_000
 SEGMENT = 128
+#: Positions of a segment at which a second parse looks whether it has met the first.
+MARKS = (4, 8, 16, 32, 64, SEGMENT)
+#: Bytes of text whose segments are parsed side by side.
+CHUNK_BYTES = 1 << 21
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -149,48 +153,44 @@ class Parser:
         inner = np.flatnonzero(nth[1:] > 0)
         after[rank[inner]] = rank[inner + 1]
         owner, begin, size = owner[order], begin[order], size[order]
-        codes = self.code[data]
         open_at = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")  # segments of at least so many bytes
+        codes = np.full((SEGMENT, total), self.pad, dtype=np.int32)
+        for t, n in enumerate(open_at.tolist()):
+            codes[t, :n] = self.code[data[begin[:n] + t]]
         for j, table in enumerate(self.tables):
             states = np.zeros((SEGMENT, total), dtype=np.int32)
             breaks = np.zeros((SEGMENT + 1, total), dtype=np.int16)  # before each position
             state = np.zeros(total, dtype=np.int32)
             for t in range(SEGMENT):
                 n = open_at[t]
-                if not n:
-                    break
-                to = table[state[:n] + codes[begin[:n] + t]]
+                to = table[state[:n] + codes[t, :n]]
                 broke = to >> 31
-                state[:n] = to ^ broke
-                states[t, :n] = state[:n]
-                breaks[t + 1, :n] = breaks[t, :n] - broke
-            count, end = breaks[size, np.arange(total)].astype(np.int64), state
-            todo = np.flatnonzero(after >= 0)
-            enter = end[todo].copy()
-            todo = after[todo]
+                state[:n] = states[t, :n] = to ^ broke
+                breaks[t + 1] = breaks[t]
+                breaks[t + 1, :n] -= broke.astype(np.int16)
+            count, end = breaks[SEGMENT].astype(np.int64), state
+            before = np.flatnonzero(after >= 0)
+            enter, todo = end[before], after[before]
             while len(todo):
-                # Parsed in lockstep; lanes leave when they meet the first parse or their segment ends.
-                was, lane, now, number = end[todo].copy(), np.arange(len(todo)), enter.copy(), np.zeros(len(todo), np.int64)
-                for t in range(SEGMENT):
-                    here = todo[lane]
-                    to = table[now[lane] + codes[begin[here] + t]]
-                    broke = to >> 31
-                    now[lane] = to ^ broke
-                    number[lane] -= broke
-                    met = now[lane] == states[t, here]
-                    over = size[here] == t + 1
-                    done = met | over
-                    if done.any():
-                        at, same = lane[done], met[done]
-                        segment = todo[at]
-                        rest = breaks[size[segment], segment] - breaks[t + 1, segment]
-                        count[segment] = number[at] + np.where(same, rest, 0)
-                        end[segment] = np.where(same, states[size[segment] - 1, segment], now[at])
-                        lane = lane[~done]
-                        if not len(lane):
-                            break
+                # In lockstep; lanes that stand where the first parse stood leave at the next mark.
+                was, here, now, number = end[todo], todo, enter, np.zeros(len(todo), np.int64)
+                t = 0
+                for mark in MARKS:
+                    for t in range(t, mark):
+                        to = table[now + codes[t, here]]
+                        broke = to >> 31
+                        now = to ^ broke
+                        number -= broke
+                    t = mark
+                    met = now == states[mark - 1, here] if mark < SEGMENT else np.zeros(len(here), bool)
+                    count[here[met]] = number[met] + breaks[SEGMENT, here[met]] - breaks[mark, here[met]]
+                    end[here[met]] = states[SEGMENT - 1, here[met]]
+                    here, now, number = here[~met], now[~met], number[~met]
+                    if not len(here):
+                        break
+                count[here], end[here] = number, now
                 changed = (end[todo] != was) & (after[todo] >= 0)
-                enter, todo = end[todo[changed]].copy(), after[todo[changed]]
+                enter, todo = end[todo[changed]], after[todo[changed]]
             out[:, j] = np.bincount(owner, weights=count, minlength=len(lengths)) + (lengths > 0)
         return out
 
@@ -209,7 +209,7 @@ def classify(column: pa.Array, sample: dict[str, bytes]) -> tuple[np.ndarray, np
     column = pc.utf8_lower(column)
     letter = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\pL"), False))
     names = np.array(parser.langs, dtype=object)
-    for c in _text.chunks(column):
+    for c in _text.chunks(column, CHUNK_BYTES):
         data, bounds = folded(c.data, c.bounds)
         cost = parser.phrases(data, bounds) * parser.bits
         best = np.argmin(cost, axis=1)
@@ -228,6 +228,7 @@ def classify(column: pa.Array, sample: dict[str, bytes]) -> tuple[np.ndarray, np
 def predict(df: DataFrame, sample: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, lang_pred, score. No shuffle."""
 
+    @tidy
     def run(batches):
         for b in batches:
             langs, scores = classify(b.column(1), sample)
@@ -242,6 +243,7 @@ def keep_known(df: DataFrame, sample: dict[str, bytes], text_col: str = "text")
     """Rows of df, all columns, whose language is not `und`. No shuffle."""
     at = df.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for b in batches:
             langs, _ = classify(b.column(at), sample)

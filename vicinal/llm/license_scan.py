@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text
+from ._held import tidy
 from ._session import small_batches
 
 K = 2
@@ -87,6 +88,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def grams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each k-gram of each document: doc, text_key, at, gram, check."""
 
+    @tidy
     def run(batches):
         for b in batches:
             keys = np.asarray(b.column(1))
@@ -107,6 +109,7 @@ def grams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def word_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc, text_key, n_words."""
 
+    @tidy
     def run(batches):
         for b in batches:
             out = [np.diff(_text.words(c.data, c.bounds, _text.ALNUM).rows) for c in _text.chunks(b.column(2))]

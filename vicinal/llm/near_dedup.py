@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._held import tidy
 from ._prefilter import marked
 from ._session import small_batches, written
 from .components import components
@@ -89,6 +90,7 @@ def packed(sign: np.ndarray) -> bytes:
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, n_shingles, fp_a, fp_b, sign for every row with an id."""
 
+    @tidy
     def run(batches):
         for b in batches:
             rows = []
@@ -214,6 +216,7 @@ def _crowded(nodes: DataFrame) -> tuple[list[Crowded], DataFrame | None, int]:
     first, deal = None, 1
     while len(found) <= len(STEPS):
 
+        @tidy
         def names(batches, found=tuple(found)):
             for b in batches:
                 n = np.asarray(b.column(0))
@@ -267,6 +270,7 @@ def _active(nodes: DataFrame, crowded: list[Crowded], deal: int) -> DataFrame:
     """part, id: the regions or parts of regions in which each node has a likely partner. nodes: id, n_shingles, sign, fp_a, star."""
     shared = nodes.sparkSession.sparkContext.broadcast(crowded)  # at most MOST_BITS for each length of prefix
 
+    @tidy
     def spread(batches):
         crowded = shared.value
         for b in batches:
@@ -284,6 +288,7 @@ def _active(nodes: DataFrame, crowded: list[Crowded], deal: int) -> DataFrame:
                     ["part", "tree", "id", "n", "sign", "parted", "star"],
                 )
 
+    @tidy
     def run(batches):
         out, size = [], 0
         for _, t in _groups(batches, 1):
@@ -313,6 +318,7 @@ def _stars(nodes: DataFrame, crowded: list[Crowded], first: DataFrame) -> DataFr
     kind = nodes.schema["id"].dataType.simpleString()
     num, den = THRESHOLD
 
+    @tidy
     def spread(batches):
         for b in batches:
             name = first_names(_signs(b.column(2))[0])
@@ -320,6 +326,7 @@ def _stars(nodes: DataFrame, crowded: list[Crowded], first: DataFrame) -> DataFr
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(name[row, tree].view(np.int64)), *(b.column(i).take(take) for i in range(3))], ["name", "id", "n", "sign"])
 
+    @tidy
     def vote(batches):
         for b in batches:
             got = []
@@ -328,11 +335,13 @@ def _stars(nodes: DataFrame, crowded: list[Crowded], first: DataFrame) -> DataFr
                 got.append(head.astype("<u4").tobytes() + tail.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["name", "modal"])
 
+    @tidy
     def agree(batches):
         for b in batches:
             same = _agreement(*_signs(b.column(3)), *_signs(b.column(4))) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(same)], ["name", "id", "n", "sign", "same"])
 
+    @tidy
     def near(batches):
         for b in batches:
             if not b.num_rows:
@@ -360,6 +369,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wid
     kind = held.schema["for"].dataType.elementType
     names = [f.name for f in kind.fields]
 
+    @tidy
     def run(batches):
         for b in batches:
             out, size = [], 0
@@ -404,6 +414,7 @@ def _star_links(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
     nodes = pairs.join(sizes, "middle").select("id", "middle", F.pmod(F.xxhash64("id"), F.col("deals")).alias("deal"), F.lit(1).alias("role"))
     middles = sizes.select(F.col("middle").alias("id"), "middle", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("role"))
 
+    @tidy
     def run(batches):
         own, middle = None, None
         for b in batches:
@@ -463,6 +474,7 @@ def _links(docs: DataFrame, active: DataFrame, id_col: str, text_col: str, width
     """a, b: confirmed links. A node's text is fetched once, its set goes to each of its parts: one a region, TURNS if that is parted."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches):
         for _, t in _groups(batches, 1):
             ids, raw = t.column(1).combine_chunks(), t.column(2).to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import _text
-from ._held import held
+from ._held import held, tidy
 from ._session import small_batches, written
 
 CAPACITY = 4096
@@ -134,6 +134,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """Per piece: id, piece, start, length, ids_crc32, and its task and its rank in the task among pieces of its size."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches):
         from pyspark import TaskContext
 
@@ -252,6 +253,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     key, plan = key[order], plan[order]
     ranked = cut.join(offsets, ["length", "part"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("from") + F.col("nth")).alias("rank"))
 
+    @tidy
     def place(batches):
         for b in batches:
             size, rank = (np.asarray(b.column(i)) for i in (3, 5))

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._held import tidy
 from ._session import small_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "routing")
@@ -142,6 +143,7 @@ def score(text: str, kind: str, start: int, end: int, checked: bool) -> float:
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """Per row: the id and all spans of its whole text. No shuffle."""
 
+    @tidy
     def run(batches):
         for b in batches:
             rows = []
@@ -172,6 +174,7 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of df, the text masked. No shuffle."""
     at = df.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for b in batches:
             cols = list(b.columns)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._held import tidy
 from ._session import small_batches
 
 #: Bounds of the sample that the model is fitted to, in rows.
@@ -55,6 +56,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
     """Features of the rows of docs whose id is in ids, a bounded table; of rows with one id, one of the smallest text hash."""
 
+    @tidy
     def run(batches):
         for b in batches:
             out = []
@@ -144,6 +146,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     at = np.flatnonzero(model.weights)
     slim, bias = (at.astype(np.int32), model.weights[at].astype(np.float32)), model.bias
 
+    @tidy
     def run(batches):
         weights = np.zeros(1 << BITS)
         weights[slim[0]] = slim[1]

@@ -26,6 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._held import tidy
 from ._prefilter import marked
 from ._session import fresh_dir, written
 
@@ -130,6 +131,7 @@ def parsed(data: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, **columns: str) -> DataFrame:
     """Write the archives into folder; returns the index, a written table."""
 
+    @tidy
     def run(batches):
         files, base = pafs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
@@ -183,6 +185,7 @@ def ranges(index: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that the rows of an index point to, read back from the archives."""
 
+    @tidy
     def run(batches):
         files, _ = pafs.FileSystem.from_uri(folder)
         for b in batches:
