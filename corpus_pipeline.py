@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; docs is what was written of that.
 All stages but the last return the columns of documents.
+
+Defined results, stage by stage: an empty table passes as an empty table; extra columns are dropped; a row with a null id takes part in all
+stages but near-dedup, which keeps it. A null or empty text has no language, so its row goes in the first stage. Of repeated rows of the
+smallest id of a group near-dedup keeps all; decontamination drops every copy of a document that holds an item; masking treats equal
+rows alike; packing packs each. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without any letter go.."""
+    """Documents in which a language is found; those without any letter go."""
     return langid.keep_known(docs, langid.train(docs, learnable())).select(COLUMNS)
 
 
