@@ -439,7 +439,7 @@ def test_top_k_equals_full_scoring():
     ids, rows = rng.permutation(3000), np.floor(64 * rng.normal(size=(3000, 16)) / 4)
     rows[100:400] = rows[100]  # ties
     q = np.flatnonzero(ids % 50 == 0)
-    at, got, score = topk.search_blocks(ids, rows, ids[q], rows[q], 20)
+    at, got, score = topk.search_blocks(topk.Blocks(ids, rows), ids[q], rows[q], 20)
     full = rows[q] @ rows.T
     for n in range(len(q)):
         want = sorted((-int(s), int(i)) for s, i in zip(full[n], ids, strict=True) if i != ids[q[n]])[:20]
@@ -453,7 +453,7 @@ def test_top_k_of_strongly_negative_scores():
     rows[:, 3] *= 100
     rows[:, :3] *= 100
     q *= 100
-    at, got, score = topk.search_blocks(np.arange(2 * n), rows, np.array([-1]), q, 21)
+    at, got, score = topk.search_blocks(topk.Blocks(np.arange(2 * n), rows), np.array([-1]), q, 21)
     want = sorted((-int(s), i) for i, s in enumerate(rows @ q[0]))[:21]
     assert sorted((-int(s), int(i)) for s, i in zip(score, got, strict=True)) == want
 
@@ -466,6 +466,23 @@ def test_top_k_of_odd_vectors(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_in_sets_and_parts_and_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_SET", 16)
+    monkeypatch.setattr(topk, "PART_ROWS", 300)
+    rng = np.random.default_rng(5)
+    vec = rng.integers(-9, 9, size=(2000, 6))
+    ids = np.concatenate([np.full(700, 40), rng.permutation(1300) + 100])  # a third of the rows has one id, a query's
+    vec[:500] = vec[0]
+    df = spark.createDataFrame([(int(i), [float(x) / 64 for x in v]) for i, v in zip(ids, vec, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    asked = {(int(i), tuple(v.tolist())) for i, v in zip(ids, vec, strict=True) if i % 20 == 0}
+    want = collections.Counter()
+    for i, v in asked:
+        full = sorted((-int(s), int(j)) for s, j in zip(vec @ np.array(v), ids, strict=True) if j != i)[:20]
+        want += collections.Counter((i, n, j, -s) for n, (s, j) in enumerate(full, 1))
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
 # 10 Packing
 
 

@@ -5,35 +5,44 @@ each term. For a query, the sum of the maxima of its terms bounds every score in
 that bound, scores the best block through its forward index (its rows as a matrix), and goes on until the bound of the
 next block falls below the query's k-th score so far. Best lists of the tasks meet in one ranking per query.
 
-Queries are taken in sets of QUERY_SET rows, each sent to the tasks once; a task holds one partition's blocks.
+The queries are written as a table in the shared folder, in files of about QUERY_SET rows. Every task reads it, QUERY_SET rows
+at a time, against the blocks of PART_ROWS rows that it holds: vectors are read once whatever the number of queries, no query
+passes through the driver, and memory is bounded by these two sizes, also where one id stands in very many rows.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part, nor do rows with a null id; vectors of
 different length are padded with zeros; ties go to the smaller id; of rows with one id all are candidates of other
-ids' queries; an empty table gives an empty table; extra columns are ignored.
+ids' queries; different vectors with one query id are a query each, equal ones are one; an empty table gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._session import written
+from ._held import tidy
+from ._session import fresh_dir, written
 
 BLOCK = 512
 QUERY_SET = 8192
-#: Rows whose blocks a task keeps together, about; the bound of a task's memory, with 8 bytes a component.
+#: Rows whose blocks a task keeps together; the bound of a task's memory, with 8 bytes a component.
 PART_ROWS = 65_536
 SCALE = 64
 
 
-def quantized(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """id and vec (floor(scale * x) as double) of the rows that take part."""
+def quantized(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """id, vec (floor(scale * x) as double) and whether it is a query, of the rows that take part."""
     vec = F.col(vec_col)
     fine = F.forall(vec, lambda x: F.coalesce(x.cast("double").between(-1.7976931348623157e308, 1.7976931348623157e308), F.lit(False)))
     rows = df.where(F.col(id_col).isNotNull() & vec.isNotNull() & fine)
-    return rows.select(F.col(id_col).alias("id"), F.transform(vec, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("vec"))
+    whole = F.transform(vec, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), whole.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -46,22 +55,36 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _integers(m: np.ndarray):
-    """Whether all inner products of such rows are exact in float32, float64, or only as Python integers."""
-    top = float(np.abs(m).max(initial=0))
-    exact = top * top * m.shape[1]
+def _integers(top: float, width: int):
+    """Whether all inner products of rows with components up to top are exact in float32, float64, or only as Python integers."""
+    exact = top * top * width
     return np.float32 if exact < 2**24 else np.float64 if exact < 2**53 else object
 
 
-def search_blocks(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k of these rows for every query, by descending score and then id: query index, ids, scores."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
-    kind = _integers(np.concatenate([rows, q])) if len(rows) else np.float64
-    rows, q = rows.astype(kind), q.astype(kind)
-    starts = np.arange(0, len(rows), BLOCK)
-    high = np.stack([rows[s : s + BLOCK].max(axis=0) for s in starts])  # maxima of the positive terms
-    low = np.stack([rows[s : s + BLOCK].min(axis=0) for s in starts])  # of the negative ones
+class Blocks:
+    """Rows in blocks of consecutive ids, each with the maxima of its terms."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[order], rows[order]
+        self.starts = np.arange(0, len(rows), BLOCK)
+        self.high = np.stack([self.rows[s : s + BLOCK].max(axis=0) for s in self.starts])  # maxima of the positive terms
+        self.low = np.stack([self.rows[s : s + BLOCK].min(axis=0) for s in self.starts])  # of the negative ones
+        self.top = float(np.abs(self.rows).max(initial=0))
+        self._cast = (None, self.rows)
+
+    def of_kind(self, kind) -> np.ndarray:
+        """The rows as numbers of this kind; one form is kept."""
+        if self._cast[0] is not kind:
+            self._cast = kind, self.rows.astype(kind, copy=False)
+        return self._cast[1]
+
+
+def search_blocks(blocks: Blocks, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of the blocks' rows for every query, by descending score and then id: query index, ids, scores."""
+    kind = _integers(max(blocks.top, float(np.abs(q).max(initial=0))), q.shape[1])
+    ids, rows, starts, q = blocks.ids, blocks.of_kind(kind), blocks.starts, q.astype(kind)
+    high, low = blocks.high.astype(kind), blocks.low.astype(kind)
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     if kind is not object:
         bound = bound + np.abs(bound) * 1e-5 + 1  # rounding in float32
@@ -108,38 +131,54 @@ def search_blocks(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, q: np.nd
 def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), the candidate's id and its integer score: each query's k best rows other than its own."""
     spark = df.sparkSession
-    # is_query reads the columns of df; the quantized rows are written once and read for every set of queries.
-    rows = written(quantized(df.withColumn("__id", F.col(id_col)), "__id", vec_col, scale), "vectors")
-    queries = rows.join(df.where(is_query).select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").distinct()
-    n_rows, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    n_sets = -(-queries.count() // QUERY_SET)
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    rows = written(quantized(df, is_query, id_col, vec_col, scale), "vectors")
+    n_rows, n_queries, width = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("vec"))).first()
+    folder = fresh_dir(spark, "queries")
+    queries = rows.where("is_query").select("id", F.xxhash64("vec").alias("vec_key"), "vec").distinct()
+    queries.repartition(max(1, -(-n_queries // QUERY_SET))).write.parquet(folder)
     parts = max(-(-n_rows // PART_ROWS), min(n_rows // 2048, spark.sparkContext.defaultParallelism), 1)
-    blocks = rows.repartitionByRange(parts, "id")
-    found = spark.createDataFrame([], schema)
-    for one in range(n_sets):
-        mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_sets)) == one).orderBy("id").collect()  # about QUERY_SET rows
-        if not mine:
-            continue
-        q_ids = np.array([r["id"] for r in mine], dtype=np.int64)
-        q = np.zeros((len(mine), width or 0))
-        for i, r in enumerate(mine):
-            q[i, : len(r["vec"])] = r["vec"]
-        found = found.unionByName(blocks.mapInArrow(_searcher(spark.sparkContext.broadcast((q_ids, q)), k, width or 0), schema))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    blocks = rows.select("id", "vec").repartitionByRange(parts, "id", F.xxhash64("vec"))
+    found = blocks.mapInArrow(_searcher(folder, k, width or 0, QUERY_SET, PART_ROWS), "query_id bigint, vec_key bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "vec_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _searcher(queries, k: int, width: int):
+def _query_sets(folder: str, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, keys and vectors of the written queries, at most so many at a time."""
+    files, base = pafs.FileSystem.from_uri(folder)
+    for one in sorted(i.path for i in files.get_file_info(pafs.FileSelector(base)) if i.path.endswith(".parquet")):
+        with files.open_input_file(one) as source:
+            for b in pq.ParquetFile(source).iter_batches(most, columns=["id", "vec_key", "vec"]):
+                if b.num_rows:
+                    yield np.asarray(b.column(0)), np.asarray(b.column(1)), _matrix(b.column(2), width)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[Blocks]:
+    """The rows of the batches in blocks, at most so many rows at a time."""
+    ids, rows, n = [], [], 0
+    for b in batches:
+        for start in range(0, b.num_rows, most):
+            some = b.slice(start, most)
+            if n and n + some.num_rows > most:
+                yield Blocks(np.concatenate(ids), np.concatenate(rows))
+                ids, rows, n = [], [], 0
+            ids.append(np.asarray(some.column(0)))
+            rows.append(_matrix(some.column(1), width))
+            n += some.num_rows
+    if n:
+        yield Blocks(np.concatenate(ids), np.concatenate(rows))
+
+
+def _searcher(folder: str, k: int, width: int, query_set: int, part_rows: int):
+    @tidy
     def run(batches):
-        q_ids, q = queries.value
-        got = [(np.asarray(b.column(0)), _matrix(b.column(1), width)) for b in batches if b.num_rows]
-        if not got:
-            return
-        at, ids, scores = search_blocks(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), q_ids, q, k)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q_ids[at]), pa.array(ids), pa.array([int(s) for s in scores], pa.int64())], ["query_id", "vec_id", "score"]
-        )
+        for blocks in _parts(batches, width, part_rows):
+            for q_ids, keys, q in _query_sets(folder, width, query_set):
+                at, ids, scores = search_blocks(blocks, q_ids, q, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q_ids[at]), pa.array(keys[at]), pa.array(ids), pa.array([int(s) for s in scores], pa.int64())],
+                    ["query_id", "vec_key", "vec_id", "score"],
+                )
 
     return run
 
