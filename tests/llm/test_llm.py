@@ -402,6 +402,17 @@ def test_license_spans(spark, odd, none):
     got = {(r.doc_id, r.n_words): [(s.label, s.first_word, s.base) for s in r.spans] for r in license_scan.scan(docs).collect()}
     assert got[(1, 56)] == [("mit", 1, True), ("mit", 4, True)] and got[(3, 300)] == [] and got[(4, 0)] == [] and got[(4, 2)] == [("apache", 0, True)]
     assert any(x[0] == "mit" for x in next(v for k, v in got.items() if k[0] == 2)) and got[(5, 3)] == [("gpl", 0, True)]
+    # Whole texts: reworded here and there, with words put in, and in the middle of others; a part of one is its notice only.
+    held = []
+    for i, (_, t) in enumerate(license_scan.TEXTS):
+        words = [x for j, w in enumerate(t.split()) for x in ([] if j % 17 == 9 else ["foo"] if j % 17 == 3 else [w, "bar"] if j == 15 else [w])]
+        held.append((100 + i, f"{prose(random.Random(i), 40)} {' '.join(words)} {prose(random.Random(50 + i), 40)}"))
+    held.append((200, "in no event shall the authors or copyright holders of the software be there, the above copyright notice and the use of this software"))
+    seen = {r.doc_id: r.spans for r in license_scan.scan(spark.createDataFrame(held, "doc_id long, text string")).collect()}
+    for i, (label, t) in enumerate(license_scan.TEXTS):
+        n = len(re.findall("[A-Za-z0-9]+", t))
+        assert {s.label for s in seen[100 + i]} >= {label} and any(s.share >= 0.6 and s.last_word - s.first_word > 0.8 * n for s in seen[100 + i])
+    assert seen[200] == []
     assert license_scan.scan(odd).count() == 13 and license_scan.scan(none).count() == 0
 
 
