@@ -69,6 +69,29 @@ def test_dense_golden_and_ties(spark):
     assert abs(got[3].similarity - 1 / (1 + math.sqrt(2))) < 1e-6
     assert [r.row_num for r in scan.dense_search(rows, q, k=9, min_similarity=0.5).orderBy("rank").collect()] == [10, 30, 12]
     assert scan.dense_search(rows.limit(0), q, k=3).count() == 0
+    assert scan.dense_search(rows, q.limit(0), k=3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["l2", "jaccard", "ruzicka"])
+def test_dense_scan_in_sets_and_parts(spark, name, monkeypatch):
+    for what, size in (("QUERY_SET", 8), ("ROWS", 16), ("PART_VALUES", 200)):
+        monkeypatch.setattr(scan, what, size)
+    rng = random.Random(4)
+    vectors = [(i, [float(rng.randrange(-2, 3)) for _ in range(5)]) for i in range(300)]
+    asked = vectors[:30]
+    df = spark.createDataFrame(vectors, "row_num long, values array<float>").repartition(3)
+    got = scan.dense_search(df, df.where("row_num < 30").withColumnRenamed("row_num", "qid"), name, "reciprocal" if name == "l2" else "identity", 7).collect()
+
+    def plain(a, b):
+        if name == "l2":
+            return 1 / (1 + sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5)
+        size = (lambda x: float(x != 0)) if name == "jaccard" else abs
+        both = sum(min(size(x), size(y)) for x, y in zip(a, b, strict=True) if x * y > 0)
+        union = sum(map(size, a)) + sum(map(size, b)) - both
+        return both / union if union else 1.0
+
+    want = [(i, n, j) for i, a in asked for n, (s, j) in enumerate(sorted((-round(plain(a, b), 6), j) for j, b in vectors)[:7], 1)]
+    assert sorted((r.qid, r["rank"], r.row_num) for r in got) == sorted(want)
 
 
 def test_dimension_mismatch_is_told(spark):
@@ -237,7 +260,8 @@ def _records(spark, rows):
 
 @pytest.mark.parametrize("name, norm", [("jaccard", "identity"), ("ruzicka", "lp"), ("l2", "reciprocal")])
 def test_generic_scan_of_sparse_records(spark, name, norm, monkeypatch):
-    monkeypatch.setattr(scan, "PAIRS", 50)
+    for what, size in (("PAIRS", 50), ("QUERY_SET", 3), ("ROWS", 8), ("PART_VALUES", 40)):
+        monkeypatch.setattr(scan, what, size)
     rng = random.Random(99)
     rows, queries = [*_random_records(rng, 40), (900, {"only": 1.0}), (901, {"a": 0.0})], [*_random_records(rng, 6), (77, {"x": 1.0, "y": 2.0}), (78, {"b": 0.0})]
     config = NamespaceConfig(comparator=name, normalizer=norm)

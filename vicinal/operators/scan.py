@@ -1,7 +1,9 @@
 """Exhaustive search: every query against every row, block by block.
 
-Queries are taken in sets of QUERY_SET, which bounds what is sent to the tasks. A task scores some thousand rows at a time and keeps each query's
-k best rows so far; the k-th of them is the threshold that later rows must reach, and only the best rows of a task are shuffled.
+The queries are written as a table in the shared folder, which every task reads QUERY_SET at a time against the PART_VALUES values of records that it holds:
+records are read once whatever the number of queries, no query passes through the driver, and memory is bounded by these two sizes. A task
+scores some thousand rows at a time and keeps each query's k best rows so far; the k-th of them is the threshold that later rows must reach,
+and only the best rows of a task are shuffled.
 
 Dense rows under l2: one matrix product for all queries finds the pairs that may be among the best, and only those are scored again exactly
 (float differences, double sums). Sparse rows: the postings of a batch meet the queries' postings by term, sums over shared terms and unilateral
@@ -10,6 +12,8 @@ values give every similarity, that of rows without a shared term too.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,10 +22,12 @@ from pyspark.sql import functions as F
 
 from ..errors import SearchError, ShapeError
 from ..functions.records import UNI, _canonical, canonical, shape
-from .topk import float_threshold, ranked
+from ..sources.tables import batches_of, written_sets
+from .topk import float_threshold, ranked, union
 
 QUERY_SET = 2048
-ROWS = 4096
+#: Records that are scored at once, and the values of records, about, that a task holds while it reads all queries.
+ROWS, PART_VALUES = 4096, 1 << 22
 #: Pairs of query and row, and of their postings, that are scored at once.
 PAIRS = 1 << 22
 _HITS = "qid bigint, row_num bigint, similarity float"
@@ -162,18 +168,20 @@ def _score_sparse(best: _Best, q: _Queries, rows: pa.RecordBatch, name: str, nor
         a = z
 
 
-def _query_sets(queries: DataFrame):
-    """The queries in sets of about QUERY_SET rows at most."""
-    n_sets = max(1, -(-queries.count() // QUERY_SET))
-    for one in range(n_sets):
-        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_sets)) == one)
-
-
-def _union(parts: list[DataFrame], k: int) -> DataFrame:
-    out = parts[0]
-    for one in parts[1:]:
-        out = out.unionByName(one)
-    return ranked(out, k)
+def _parts(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], object], piece: int, most: int) -> Iterator[list]:
+    """What make returns for pieces of the batches, in lists of at most so many values, one piece at least."""
+    held, n = [], 0
+    for b in batches:
+        for start in range(0, b.num_rows, piece):
+            some = b.slice(start, piece)
+            size = pc.sum(some.column(1).value_lengths()).as_py() or 0
+            if held and n + size > most:
+                yield held
+                held, n = [], 0
+            held.append(make(some))
+            n += size
+    if held:
+        yield held
 
 
 def dense_search(records: DataFrame, queries: DataFrame, comparator: str = "l2", normalizer: str = "reciprocal", k: int = 10, min_similarity: float = 0.0) -> DataFrame:
@@ -181,32 +189,27 @@ def dense_search(records: DataFrame, queries: DataFrame, comparator: str = "l2",
 
     Rows of similarity below min_similarity (as a float) are left out; those of similarity 0 are hits at 0.
     """
-    spark = records.sparkSession
     least = float_threshold(min_similarity)
     rows = records.select(F.col("row_num").cast("bigint").alias("row_num"), F.col("values").cast("array<float>").alias("values"))
-    found = []
-    for some in _query_sets(queries):
-        mine = some.select("qid", "values").orderBy("qid").collect()
-        q_ids = np.array([r["qid"] for r in mine], dtype=np.int64)
-        if len({len(r["values"] or []) for r in mine}) > 1:
-            raise ShapeError("queries of different dimension")
-        q = np.array([r["values"] for r in mine], dtype=np.float32).reshape(len(mine), -1 if mine else 0)
-        shared = spark.sparkContext.broadcast((q_ids, q))
-
-        def run(batches, shared=shared):
-            q_ids, q = shared.value
-            best = _Best(len(q), k)
-            for b in batches:
-                for start in range(0, b.num_rows, ROWS):
-                    part = b.slice(start, ROWS)
-                    ids, m = np.asarray(part.column(0)), _matrix(part.column(1))
-                    if len(q) and q.shape[1] != m.shape[1]:
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("values").cast("array<float>").alias("values"))
+    size = F.coalesce(F.size("values"), F.lit(0))
+    n, shortest, longest = asked.agg(F.count(F.lit(1)), F.min(size), F.max(size)).first()
+    if shortest != longest:
+        raise ShapeError("queries of different dimension")
+    folder, query_set, piece, most = written_sets(asked, "queries", -(-n // QUERY_SET)), QUERY_SET, ROWS, PART_VALUES
+
+    def run(batches):
+        for held in _parts(batches, lambda b: (np.asarray(b.column(0)), _matrix(b.column(1))), piece, most):
+            for some in batches_of(folder, query_set):
+                q_ids, q = np.asarray(some.column(0)), _matrix(some.column(1))
+                best = _Best(len(q), k)
+                for ids, m in held:
+                    if q.shape[1] != m.shape[1]:
                         raise ShapeError("a query's dimension differs from the records'")
                     _score(best, q, ids, m, comparator, normalizer, least)
-            yield from best.hits(q_ids)
+                yield from best.hits(q_ids)
 
-        found.append(rows.mapInArrow(run, _HITS))
-    return _union(found, k)
+    return ranked(rows.mapInArrow(run, _HITS), k)
 
 
 def sparse_search(records: DataFrame, queries: DataFrame, comparator: str = "jaccard", normalizer: str = "identity", k: int = 10, min_similarity: float = 0.0) -> DataFrame:
@@ -214,31 +217,27 @@ def sparse_search(records: DataFrame, queries: DataFrame, comparator: str = "jac
 
     Rows that share no term with a query take part as well. A dense record raises an error; sequences and empty records are no rows.
     """
-    spark = records.sparkSession
     least = float_threshold(min_similarity)
     rows = records.select(F.col("row_num").cast("bigint").alias("row_num"), F.col("terms").cast("array<string>"), F.col("values").cast("array<float>"))
-    found = []
-    for some in _query_sets(queries):
-        mine = canonical(some, "qid").orderBy("qid").toArrow().combine_chunks().to_batches()
-        if not mine:
-            found.append(spark.createDataFrame([], _HITS))
-            continue
-        shared = spark.sparkContext.broadcast(_Queries(mine[0], comparator))
-
-        def run(batches, shared=shared):
-            q = shared.value
-            best = _Best(len(q.ids), k)
-            for b in batches:
-                for start in range(0, b.num_rows, ROWS):
-                    part = b.slice(start, ROWS)
-                    n_terms, n_values = (np.asarray(pc.fill_null(part.column(i).value_lengths(), 0)) for i in (1, 2))
-                    if ((n_terms == 0) & (n_values > 0)).any():
-                        raise ShapeError("a sparse query meets a dense record")
-                    _score_sparse(best, q, _canonical(*part.columns), comparator, normalizer, least)
-            yield from best.hits(q.ids)
-
-        found.append(rows.mapInArrow(run, _HITS))
-    return _union(found, k)
+    asked = canonical(queries.withColumn("qid", F.col("qid").cast("bigint")), "qid")
+    folder, query_set, piece, most = written_sets(asked, "queries", -(-queries.count() // QUERY_SET)), QUERY_SET, ROWS, PART_VALUES
+
+    def sparse(b: pa.RecordBatch) -> pa.RecordBatch:
+        n_terms, n_values = (np.asarray(pc.fill_null(b.column(i).value_lengths(), 0)) for i in (1, 2))
+        if ((n_terms == 0) & (n_values > 0)).any():
+            raise ShapeError("a sparse query meets a dense record")
+        return _canonical(*b.columns)
+
+    def run(batches):
+        for held in _parts(batches, sparse, piece, most):
+            for some in batches_of(folder, query_set):
+                q = _Queries(some, comparator)
+                best = _Best(len(q.ids), k)
+                for part in held:
+                    _score_sparse(best, q, part, comparator, normalizer, least)
+                yield from best.hits(q.ids)
+
+    return ranked(rows.mapInArrow(run, _HITS), k)
 
 
 def generic_search(records: DataFrame, queries: DataFrame, comparator: str, normalizer: str, k: int = 10, min_similarity: float = 0.0) -> DataFrame:
@@ -251,4 +250,4 @@ def generic_search(records: DataFrame, queries: DataFrame, comparator: str, norm
         hits.append(dense_search(records.where(kind.isin("dense", "sparse")).withColumn("values", mixed), queries.where(kind == "dense"), comparator, normalizer, k, min_similarity).drop("rank"))
     if "sparse" in known:
         hits.append(sparse_search(records, queries.where(kind == "sparse"), comparator, normalizer, k, min_similarity).drop("rank"))
-    return _union(hits or [records.sparkSession.createDataFrame([], _HITS)], k)
+    return ranked(union(*hits or [records.sparkSession.createDataFrame([], _HITS)]), k)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import VicinalError
@@ -26,3 +30,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_sets(df: DataFrame, what: str, n_files: int) -> str:
+    """The folder of a table written now in about so many files, for tasks that read it whole; see batches_of."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.repartition(max(1, n_files)).write.parquet(path)
+    return path
+
+
+def batches_of(folder: str, most: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a table, as a task reads them: at most so many at a time."""
+    files, base = pafs.FileSystem.from_uri(folder)
+    for one in sorted(i.path for i in files.get_file_info(pafs.FileSelector(base)) if i.path.endswith(".parquet")):
+        with files.open_input_file(one) as source:
+            yield from (b for b in pq.ParquetFile(source).iter_batches(most) if b.num_rows)
